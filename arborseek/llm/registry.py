@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from arborseek.llm import distinctive_queries, encoding_queries, frequency_queries, leakage_queries, splitting_queries, stuffing_queries
+from arborseek.llm import distinctive_queries, encoding_queries, frequency_queries, leakage_queries, markup_queries, splitting_queries, stuffing_queries
 
-MODULES = (frequency_queries, distinctive_queries, splitting_queries, encoding_queries, leakage_queries, stuffing_queries)
+MODULES = (frequency_queries, distinctive_queries, splitting_queries, markup_queries, encoding_queries, leakage_queries, stuffing_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
