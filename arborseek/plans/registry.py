@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborseek.plans import changes
+from arborseek.plans import changes, retrieval
 
-MODULES = (changes,)
+MODULES = (changes, retrieval)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["p1_found"](spark, folder)
+    return QUERIES["search"](spark, folder)
