@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborseek.plans import changes, retrieval
+from arborseek.plans import catalog, changes, context, retrieval
 
-MODULES = (changes, retrieval)
+MODULES = (changes, retrieval, context, catalog)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
 
