@@ -103,8 +103,7 @@ class Engine:
             kept = self.spark.read.parquet(f"{self.folder}/{now['generation']}/index/chunks").join(diff.select(F.col("key").alias("doc_id")), "doc_id", "left_anti")
             rows = rows.unionByName(kept)
         rows.write.parquet(f"{base}/rows")
-        index = Index.of(self.spark.read.parquet(f"{base}/rows"), self.config.settings["stemmer"])
-        index.write(f"{base}/index")
+        index = Index.build(self.spark.read.parquet(f"{base}/rows"), f"{base}/index", self.config.settings["stemmer"])
         files.join(errors, "doc_id", "left_anti").select("abs_path", "tree", "path", "mtime").write.parquet(f"{base}/manifest")
         self._put_current({"generation": generation, "config": self.config.hash()})
         self._index = None

@@ -1,12 +1,13 @@
 """Positional postings and corpus statistics of chunks, as DataFrames and as a written index.
 
 ``postings(field, term, id, doc_id, tree, tf, len, positions)`` has one row for each term of a field of a chunk;
-``stats(field, docs, total)`` and ``terms(field, term, df)`` hold what scoring needs. Written, postings are partitioned by
-field and sorted by term, so that the few terms of a query read few row groups.
+``stats(field, docs, avg_len)`` and ``terms(field, term, df)`` hold what scoring needs. Written, postings are sorted by field
+and term, so that the few terms of a query read few row groups.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from arborseek.functions.stem import stem_column
 from arborseek.functions.text import terms
 from arborseek.operators.current import current_rows
+from arborseek.session import shared_dir
 
 FIELDS = ("hierarchy", "tags", "path", "body")
 BOOSTS = {"hierarchy": 3.0, "tags": 5.0, "path": 12.0, "body": 1.0}
@@ -28,40 +30,50 @@ def index_rows(chunks: DataFrame) -> DataFrame:
 
 
 def field_parts(rows: DataFrame) -> DataFrame:
-    """``(id, doc_id, tree, field, part, words)``; tags are one text, each element of a hierarchy is a part of its own."""
+    """``(id, doc_id, tree, field, part, words, len)``; tags are one text, each element of a hierarchy is a part of its own.
 
-    def one(field: str, text: Column) -> Column:
-        return F.array(F.struct(F.lit(field).alias("field"), F.lit(0).alias("part"), text.alias("text")))
+    ``len`` counts the words of the field, over all its parts.
+    """
+    worded = rows.select(
+        "id",
+        "doc_id",
+        "tree",
+        terms("body").alias("body"),
+        terms("path").alias("path"),
+        terms(F.array_join("tags", " ")).alias("tags"),
+        F.transform(F.coalesce("hierarchy", F.array().cast("array<string>")), terms).alias("titles"),
+    )
 
-    titles = F.transform(F.coalesce("hierarchy", F.array().cast("array<string>")), lambda t, i: F.struct(F.lit("hierarchy").alias("field"), i.alias("part"), t.alias("text")))
-    parts = F.concat(one("body", F.col("body")), one("path", F.col("path")), one("tags", F.array_join("tags", " ")), titles)
-    return rows.select("id", "doc_id", "tree", F.inline(parts)).where("text is not null").select("id", "doc_id", "tree", "field", "part", terms("text").alias("words"))
+    def one(field: str) -> Column:
+        return F.array(F.struct(F.lit(field).alias("field"), F.lit(0).alias("part"), F.col(field).alias("words"), F.size(field).alias("len")))
+
+    sized = worded.withColumn("title_len", F.size(F.flatten("titles")))
+    titles = F.transform("titles", lambda w, i: F.struct(F.lit("hierarchy").alias("field"), i.alias("part"), w.alias("words"), F.col("title_len").alias("len")))
+    return sized.select("id", "doc_id", "tree", F.inline(F.concat(one("body"), one("path"), one("tags"), titles))).where("size(words) > 0")
 
 
 def tokens(rows: DataFrame, language: str = "none") -> DataFrame:
-    """``(id, doc_id, tree, field, pos, term)``, one row a token."""
-    found = field_parts(rows).select("id", "doc_id", "tree", "field", "part", F.posexplode("words").alias("place", "term"))
-    placed = found.select("id", "doc_id", "tree", "field", (F.col("part") * GAP + F.col("place")).alias("pos"), "term")
+    """``(id, doc_id, tree, field, len, pos, term)``, one row a token."""
+    found = field_parts(rows).select("id", "doc_id", "tree", "field", "part", "len", F.posexplode("words").alias("place", "term"))
+    placed = found.select("id", "doc_id", "tree", "field", "len", (F.col("part") * GAP + F.col("place")).alias("pos"), "term")
     return stem_column(placed, "term", language)
 
 
-def field_lengths(rows: DataFrame) -> DataFrame:
-    """``(id, field, len)`` of the fields that hold a term."""
-    return field_parts(rows).groupBy("id", "field").agg(F.sum(F.size("words")).alias("len")).where("len > 0")
-
-
 def postings(rows: DataFrame, language: str = "none") -> DataFrame:
-    found = tokens(rows, language).groupBy("field", "term", "id", "doc_id", "tree").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return found.join(field_lengths(rows), ["id", "field"]).select("field", "term", "id", "doc_id", "tree", "tf", "len", "positions")
+    """One row for each term of a field of a chunk; the field's length comes along, so that scoring joins nothing."""
+    found = tokens(rows, language).groupBy("field", "term", "id", "doc_id", "tree", "len")
+    counted = found.agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return counted.select("field", "term", "id", "doc_id", "tree", "tf", "len", "positions")
 
 
 def term_stats(found: DataFrame) -> DataFrame:
     return found.groupBy("field", "term").agg(F.count("*").alias("df"))
 
 
-def field_stats(lengths: DataFrame, chunks: int) -> DataFrame:
-    """``(field, docs, avg_len)``; the mean is over all chunks, those without the field too."""
-    return lengths.groupBy("field").agg(F.count("*").alias("docs"), (F.sum("len") / F.lit(float(max(chunks, 1)))).alias("avg_len"))
+def field_stats(rows: DataFrame, chunks: int) -> DataFrame:
+    """``(field, docs, avg_len)``; the mean is over all chunks, those without the field too. Each field of a row counts once."""
+    first = field_parts(rows).groupBy("id", "field").agg(F.first("len").alias("len"))
+    return first.groupBy("field").agg(F.count("*").alias("docs"), (F.sum("len") / F.lit(float(max(chunks, 1)))).alias("avg_len"))
 
 
 @dataclass
@@ -77,22 +89,51 @@ class Index:
 
     @staticmethod
     def of(rows: DataFrame, language: str = "none") -> Index:
-        """An index over rows as :func:`index_rows` gives them, made on the fly."""
+        """An index over rows as :func:`index_rows` gives them, made anew by each query that reads it."""
         count = rows.select("id").count()
         found = postings(rows, language)
-        return Index(rows, found, term_stats(found), field_stats(field_lengths(rows), count), count, language)
+        return Index(rows, found, term_stats(found), field_stats(rows, count), count, language)
 
-    def write(self, folder: str) -> None:
-        self.chunks.write.mode("overwrite").partitionBy("tree").parquet(f"{folder}/chunks")
-        by_term = self.postings.repartition("field", "term").sortWithinPartitions("field", "term", "id")
-        by_term.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").partitionBy("field").parquet(f"{folder}/postings")
-        spark = self.chunks.sparkSession
-        term_stats(spark.read.parquet(f"{folder}/postings")).write.mode("overwrite").parquet(f"{folder}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
-        spark.createDataFrame([(self.count, self.language)], "count long, language string").write.mode("overwrite").json(f"{folder}/meta")
+    @staticmethod
+    def build(rows: DataFrame, folder: str, language: str = "none") -> Index:
+        """Write an index of the rows and read it back. Each part is made from the one written before.
+
+        Rows are laid out by range of id, postings by range of field, term and id, so that a tree that holds a third of
+        the rows, or a term that stands in all of them, spreads over many files; the sort makes row groups of few terms.
+        """
+        spark = rows.sparkSession
+        rows.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{folder}/chunks")
+        chunks = spark.read.parquet(f"{folder}/chunks")
+        by_term = postings(chunks, language).repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id")
+        by_term.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{folder}/postings")
+        found = spark.read.parquet(f"{folder}/postings")
+        term_stats(found).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+        count = chunks.count()
+        sums = found.groupBy("field", "id").agg(F.sum("tf").alias("len")).groupBy("field").agg(F.count("*").alias("docs"), (F.sum("len") / F.lit(float(max(count, 1)))).alias("avg_len"))
+        sums.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+        spark.createDataFrame([(count, language)], "count long, language string").coalesce(1).write.mode("overwrite").json(f"{folder}/meta")
+        return Index.read(spark, folder)
 
     @staticmethod
     def read(spark: SparkSession, folder: str) -> Index:
         meta = spark.read.schema("count long, language string").json(f"{folder}/meta").first()
         part = {n: spark.read.parquet(f"{folder}/{n}") for n in ("chunks", "postings", "terms", "stats")}
         return Index(part["chunks"], part["postings"], part["terms"], part["stats"], meta["count"], meta["language"])
+
+
+_built: dict[tuple[str, str, int], str] = {}
+
+
+def shared_index(spark: SparkSession, folder: str, chunks: DataFrame) -> Index:
+    """The index of a folder's chunk table, written to the shared folder by the first query of this application that needs it.
+
+    It is made anew when the table was written since.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/chunks.parquet")
+    stamp = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, folder, stamp)
+    if key not in _built:
+        at = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        Index.build(index_rows(chunks), at)
+        _built[key] = at
+    return Index.read(spark, _built[key])

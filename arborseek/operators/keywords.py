@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -53,22 +54,26 @@ def rake(text: str) -> list[tuple[str, float]]:
 def textrank(text: str, window: int = 2, damping: float = 0.85, tolerance: float = 5e-5, rounds: int = 200) -> list[tuple[str, float]]:
     """Words ranked by power iteration over the graph of neighbours within ``window``, added up over phrases."""
     words = [w for w in _WORD.findall(text.lower()) if w not in _STOP and not w.isdigit()]
-    edges: dict[str, Counter] = defaultdict(Counter)
-    for i, a in enumerate(words):
-        for b in words[i + 1 : i + window + 1]:
-            if a != b:
-                edges[a][b] += 1
-                edges[b][a] += 1
+    edges: Counter[tuple[int, int]] = Counter()
+    names = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    places = [names[w] for w in words]
+    for gap in range(1, window + 1):
+        edges.update((a, b) for a, b in zip(places, places[gap:], strict=False) if a != b)
     if not edges:
         return _ranked(dict.fromkeys(words, 1.0))
-    totals = {w: sum(c.values()) for w, c in edges.items()}
-    rank = dict.fromkeys(edges, 1.0)
+    ends = np.array(list(edges), np.int64)
+    weight = np.array(list(edges.values()), float)
+    source, target, weight = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]]), np.concatenate([weight, weight])
+    totals = np.bincount(source, weight, len(names))
+    flow = weight / totals[source]
+    ranks = np.ones(len(names))
     for _ in range(rounds):
-        new = {w: (1 - damping) + damping * sum(n / totals[v] * rank[v] for v, n in c.items()) for w, c in edges.items()}
-        moved = max(abs(new[w] - rank[w]) for w in new)
-        rank = new
+        new = (1 - damping) + damping * np.bincount(target, flow * ranks[source], len(names))
+        moved = np.abs(new - ranks).max()
+        ranks = new
         if moved < tolerance:
             break
+    rank = dict(zip(names, ranks.tolist(), strict=True))
     scores = dict(rank)
     for p in phrases(text):
         if len(p) > 1:

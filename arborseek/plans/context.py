@@ -35,8 +35,8 @@ def merge_terms(spark, folder):
 
 def tfidf_keywords(spark, folder):
     """The five best keywords of every chunk by frequency, weight and context IDF."""
-    rows = _rows(spark, folder)
-    index = ix.Index.of(rows)
+    index = ix.shared_index(spark, folder, table(spark, folder, "chunks"))
+    rows = index.chunks
     merged = ops.merge_terms(ops.path_terms(rows).unionByName(ops.body_terms(rows)))
     ranked = ops.rank_terms(merged, index.terms.where("field = 'body'"), index.count)
     scored = ranked.select("id", "term", F.round("score", 6).alias("score"))
@@ -65,7 +65,7 @@ def stored_keywords(spark, folder):
 
 def include_inject(spark, folder):
     """Results of a word with two documents put before them: the first and the last by name."""
-    index = ix.Index.of(_rows(spark, folder))
+    index = ix.shared_index(spark, folder, table(spark, folder, "chunks"))
     found = ranking.candidates(Compiler(index).run(ops.build_query([("cache", 2.0)])), 10).withColumn("rank_in", F.col("rank_in").cast("long"))
     ends = index.chunks.agg(F.min("doc_id"), F.max("doc_id")).first()
     return ops.inject(found, [ends[0], ends[1]], index.chunks, 10).select("id", "doc_id", F.col("rank_in").cast("long").alias("rank_in"))
@@ -73,7 +73,7 @@ def include_inject(spark, folder):
 
 def self_exclude(spark, folder):
     """Results of a word without those of the document that is first among them."""
-    index = ix.Index.of(_rows(spark, folder))
+    index = ix.shared_index(spark, folder, table(spark, folder, "chunks"))
     found = ranking.candidates(Compiler(index).run(ops.build_query([("cache", 1.0)])), 20)
     own = found.where("rank_in = 1").select("doc_id")
     return found.join(own, "doc_id", "left_anti").select("id", "rank_in")

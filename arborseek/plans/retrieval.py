@@ -20,7 +20,7 @@ def _rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, folder: str) -> ix.Index:
-    return ix.Index.of(_rows(spark, folder))
+    return ix.shared_index(spark, folder, table(spark, folder, "chunks"))
 
 
 def search_scores(query: str, fuzzy: int = 0):
@@ -43,11 +43,11 @@ def postings(spark, folder):
 
 
 def term_stats(spark, folder):
-    return ix.term_stats(_index(spark, folder).postings)
+    return ix.term_stats(ix.postings(_rows(spark, folder)))
 
 
 def field_stats(spark, folder):
-    return _index(spark, folder).stats.select("field", "docs", F.round("avg_len", 6).alias("avg_len"))
+    return ix.Index.of(_rows(spark, folder)).stats.select("field", "docs", F.round("avg_len", 6).alias("avg_len"))
 
 
 def context_idf(spark, folder):
