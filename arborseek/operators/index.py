@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from arborseek.functions.stem import stem_column
 from arborseek.functions.text import terms
 from arborseek.operators.current import current_rows
-from arborseek.session import shared_dir
+from arborseek.session import scratch_dir
 
 FIELDS = ("hierarchy", "tags", "path", "body")
 BOOSTS = {"hierarchy": 3.0, "tags": 5.0, "path": 12.0, "body": 1.0}
+SPREAD = 4  # parts of each term's postings in a written index
 GAP = 100_000  # positions between two elements of a hierarchy, so that no phrase spans them
 COLUMNS = ("doc_id", "parent_id", "hierarchy", "depth", "tags", "path", "tree", "body", "position", "byte_start", "byte_end", "sibling_count", "mtime")
 
@@ -98,16 +99,20 @@ class Index:
     def build(rows: DataFrame, folder: str, language: str = "none") -> Index:
         """Write an index of the rows and read it back. Each part is made from the one written before.
 
-        Rows are laid out by range of id, postings by range of field, term and id, so that a tree that holds a third of
-        the rows, or a term that stands in all of them, spreads over many files; the sort makes row groups of few terms.
+        Rows are spread by id over all partitions, since what follows costs far more than their bytes tell, and sorted by
+        id, so by tree and document. Postings
+        are laid out by term, in SPREAD parts each, so that a term that stands in all chunks fills no single file, and
+        sorted, so that row groups hold few terms. Neither layout samples its input first, as one by ranges would.
         """
         spark = rows.sparkSession
-        rows.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{folder}/chunks")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        rows.repartition(parts, "id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{folder}/chunks")
         chunks = spark.read.parquet(f"{folder}/chunks")
-        by_term = postings(chunks, language).repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term", "id")
+        part = F.pmod(F.xxhash64("id"), F.lit(SPREAD))
+        by_term = postings(chunks, language).repartition(parts, "term", part).sortWithinPartitions("field", "term", "id")
         by_term.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{folder}/postings")
         found = spark.read.parquet(f"{folder}/postings")
-        term_stats(found).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
+        term_stats(found).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/terms")
         count = chunks.count()
         sums = found.groupBy("field", "id").agg(F.sum("tf").alias("len")).groupBy("field").agg(F.count("*").alias("docs"), (F.sum("len") / F.lit(float(max(count, 1)))).alias("avg_len"))
         sums.coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
@@ -133,7 +138,7 @@ def shared_index(spark: SparkSession, folder: str, chunks: DataFrame) -> Index:
     stamp = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
     key = (spark.sparkContext.applicationId, folder, stamp)
     if key not in _built:
-        at = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        at = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
         Index.build(index_rows(chunks), at)
         _built[key] = at
     return Index.read(spark, _built[key])
