@@ -118,8 +118,8 @@ def pipeline_stats(spark, folder):
 
 
 def range_merge(spark, folder):
-    """Byte ranges of the lines of bodies, widened to touch, and merged."""
-    each = highlight.lines(_rows(spark, folder)).where("end > start and line % 3 <> 0")
+    """Byte ranges of all lines of all bodies, widened to touch, and merged; empty lines part them."""
+    each = highlight.lines(_rows(spark, folder)).where("end > start")
     return highlight.merge_ranges(each.select("id", "start", (F.col("end") + 1).alias("end")))
 
 
