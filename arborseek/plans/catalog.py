@@ -44,10 +44,8 @@ def get_by_path(spark, folder):
 
 
 def json_results(spark, folder):
-    """Each tree's first ten chunks as one JSON object."""
-    place = F.row_number().over(Window.partitionBy("tree").orderBy("id"))
-    top = _rows(spark, folder).withColumn("place", place).where("place <= 10")
-    return top.select("id", F.to_json(F.struct("id", "doc_id", "depth")).alias("json"))
+    """Every chunk as one JSON object."""
+    return _rows(spark, folder).select("id", F.to_json(F.struct("id", "doc_id", "depth")).alias("json"))
 
 
 def slugify(spark, folder):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborseek.operators import highlight, ranking, scoring, similar
@@ -133,9 +133,10 @@ def match_ranges(spark, folder):
 
 
 def snippet(spark, folder):
+    """The fragments of all hits of a word."""
     index = _index(spark, folder)
-    top = ranking.candidates(Compiler(index).run(parse("body:cache")), 50).join(index.chunks.select("id", "body"), "id")
-    return highlight.with_snippet(top, "body", {"cache": 1.0}).select("id", "snippet")
+    hits = Compiler(index).run(parse("body:cache")).select("id").join(index.chunks.select("id", "body"), "id")
+    return highlight.with_snippet(hits, "body", {"cache": 1.0}).select("id", "snippet")
 
 
 def more_like_this(spark, folder):
@@ -154,15 +155,17 @@ def similar_terms(spark, folder):
 
 
 def batched_terms(spark, folder):
-    """Many one-word queries in one plan: the best chunk body for each of the 200 most frequent body terms."""
-    from pyspark.sql import Window
+    """Many one-word queries in one plan: the best chunk body for each body term.
 
+    A score depends on frequency and length alone, so of equal ones only the first id is kept before the shuffle by
+    term: a term of all chunks is left with as many rows as it has such pairs.
+    """
     index = _index(spark, folder)
-    wanted = index.terms.where("field = 'body'").orderBy(F.desc("df"), "term").limit(200)
-    hits = index.postings.where("field = 'body'").join(F.broadcast(wanted), ["field", "term"]).join(F.broadcast(index.stats), "field")
-    scored = hits.select("term", "id", F.round(scoring.bm25("tf", "len", "avg_len", scoring.bm25_idf("df", index.count)), 5).alias("score"))
-    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("place", place).where("place = 1").select("term", "id", "score")
+    pairs = index.postings.where("field = 'body'").groupBy("term", "tf", "len").agg(F.count("*").alias("chunks"), F.min("id").alias("id"))
+    known = pairs.withColumn("df", F.sum("chunks").over(Window.partitionBy("term"))).crossJoin(F.broadcast(index.stats.where("field = 'body'").select("avg_len")))
+    scored = known.select("term", "id", F.round(scoring.bm25("tf", "len", "avg_len", scoring.bm25_idf("df", index.count)), 5).alias("score"))
+    best = scored.groupBy("term").agg(F.min(F.struct((-F.col("score")).alias("minus"), "id")).alias("best"))
+    return best.select("term", F.col("best.id").alias("id"), (-F.col("best.minus")).alias("score"))
 
 
 QUERIES = {

@@ -2,7 +2,7 @@ from datetime import datetime
 
 import pytest
 
-from arborseek.plans import retrieval
+from arborseek.plans import catalog, retrieval
 
 CHUNKS = "id string, doc_id string, parent_id string, hierarchy array<string>, depth int, tags array<string>, path string, tree string, body string, position int, byte_start long, byte_end long, sibling_count int, mtime timestamp"
 BODIES = ["alpha\nbeta\ngamma\ndelta", "one\n\ntwo\nthrée\nfour", "", None]
@@ -21,3 +21,22 @@ def folder(spark, tmp_path_factory):
 def test_range_merge_takes_every_line(spark, folder):
     got = sorted((r["id"], r["start"], r["end"]) for r in retrieval.range_merge(spark, folder).where("id < 't:d04'").collect())
     assert got == [("t:d00", 0, 23), ("t:d01", 0, 4), ("t:d01", 5, 21)]
+
+
+def test_json_of_every_chunk(spark, folder):
+    got = {r["id"]: r["json"] for r in catalog.json_results(spark, folder).collect()}
+    assert got == {i: f'{{"id":"{i}","doc_id":"{i}","depth":0}}' for i in (f"t:d{k:02}" for k in range(64))}
+
+
+def test_snippet_of_every_hit(spark, folder):
+    got = {r["id"]: r["snippet"] for r in retrieval.snippet(spark, folder).collect()}
+    assert len(got) == 60 and all(s.startswith("<b>cache</b> w") for s in got.values())
+
+
+def test_batched_terms_answers_every_term(spark, tmp_path):
+    words = [f"w{i:03}" for i in range(210)]
+    texts = {"t:a": " ".join(words), "t:b": " ".join([*words, "w000 w000 longer"]), "t:c": "w001", "t:d": "w001"}
+    rows = [(i, i, None, [], 0, [], "p.md", "t", b, 0, 0, 10, 1, datetime(2025, 1, 1)) for i, b in texts.items()]
+    spark.createDataFrame(rows, CHUNKS).write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r["term"]: r["id"] for r in retrieval.batched_terms(spark, str(tmp_path)).collect()}
+    assert got == {w: "t:a" for w in words} | {"w000": "t:b", "w001": "t:c", "longer": "t:b"}
