@@ -1,12 +1,12 @@
 """Pages of stuffed keywords, link lists, tag and attribute lists instead of sentences.
 
 Each line of a page is read as one of: code, table or log (left alone), list evidence (links only, hashtags, short
-items in a row, or words of a phrase the page keeps repeating), sentence, or in doubt: no sentence and no list. The
-phrases of lines in doubt are exploded into five-word shingles, and the distinct hosts that hold each are counted over
-the whole corpus; where most of a page's shingles stand on other hosts too, the page is stitched from replicated
-phrases and its doubtful words join the list evidence. A page is spam if that evidence makes up three quarters of
-its words. Replication alone says little here, since pages in set phrases share whole sentences with many hosts;
-so it speaks only where a line has no sentence.
+items in a row, or words of a phrase the page keeps repeating), sentence, or in doubt: no sentence and no list. All
+lines of all documents are exploded into five-word shingles, and the distinct hosts that hold each are counted over
+the whole corpus; where most shingles of a page's lines in doubt stand on other hosts too, the page is stitched from
+replicated phrases and its doubtful words join the list evidence. A page is spam if that evidence makes up three
+quarters of its words. Replication alone says little here, since pages in set phrases share whole sentences with many
+hosts; so it speaks only where a line has no sentence.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -58,6 +60,48 @@ def _links_only(line: str) -> tuple[int, int]:
     return inside + bare, len(_WORD.findall(_TAG.sub(" ", _BULLET.sub("", rest))))
 
 
+def _words(line: str, linked: bool) -> list[str]:
+    """A line's words in lower case, those of its links too, without addresses and tags."""
+    if not linked:
+        return _WORD.findall((_TAG.sub(" ", line) if "<" in line else line).lower())
+    shown = _LINK.sub(lambda m: _URL.sub(" ", next((g for g in m.groups() if g), "")), line)
+    return _WORD.findall(_TAG.sub(" ", _URL.sub(" ", shown)).lower())
+
+
+def _linked(line: str) -> bool:
+    return "://" in line or "[[" in line or "www." in line or "](" in line or "<a " in line
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_known = _Hashes()
+_FACTORS = [np.uint64(0x9E3779B97F4A7C15 ** (k + 1) % 2**64) for k in range(SHINGLE)]
+
+
+def shingles(lines: list[list[str]]) -> np.ndarray:
+    """Signed 64-bit hashes of all five-word shingles of the lines, each once; none spans two lines."""
+    lines = [x for x in lines if len(x) >= SHINGLE]
+    if not lines:
+        return np.empty(0, np.int64)
+    if len(_known) > 500_000:
+        _known.clear()
+    of_words = np.fromiter(map(_known.__getitem__, chain.from_iterable(lines)), np.uint64)
+    n = len(of_words) - SHINGLE + 1
+    sums = np.zeros(n, np.uint64)
+    for k, factor in enumerate(_FACTORS):
+        sums += of_words[k : k + n] * factor
+    whole = np.ones(n, bool)
+    ends = np.cumsum([len(x) for x in lines])[:-1]
+    for k in range(1, SHINGLE):
+        whole[ends - k] = False
+    sums = sums[whole]
+    return np.unique(sums ^ (sums >> np.uint64(32))).view(np.int64)
+
+
 class Page:
     """Counts of a page's words: ``total``, ``sure`` list evidence, and ``doubt`` with its word sequences."""
 
@@ -79,10 +123,9 @@ class Page:
         read = []
         pairs: Counter[tuple[str, str]] = Counter()
         for kind, line in lines:
-            linked = "://" in line or "[[" in line or "www." in line or "](" in line or "<a " in line
+            linked = _linked(line)
             inside, outside = _links_only(line) if linked else (0, 0)
-            shown = _LINK.sub(lambda m: _URL.sub(" ", next((g for g in m.groups() if g), "")), line) if linked else line
-            words = _WORD.findall(_TAG.sub(" ", _URL.sub(" ", shown) if linked else shown).lower())
+            words = _words(line, linked)
             read.append((kind, line, words, inside, outside, linked))
             self.total += max(len(words), inside + outside)
             if not kind:
@@ -119,10 +162,6 @@ class Page:
                     self.doubt += count
                     self.phrases.append(words)
 
-    def shingles(self) -> set[int]:
-        """Signed 64-bit hashes of all five-word shingles of the lines in doubt."""
-        return {xxhash.xxh64_intdigest("\x01".join(p[i : i + SHINGLE])) - (1 << 63) for p in self.phrases for i in range(len(p) - SHINGLE + 1)}
-
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
@@ -130,7 +169,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, host, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             page = Page(text)
             if page.sure or page.doubt:
-                out.append((doc, host, page.total, page.sure, page.doubt, sorted(page.shingles())))
+                out.append((doc, host, page.total, page.sure, page.doubt, shingles(page.phrases)))
         cols = list(zip(*out, strict=True)) or [()] * 6
         types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "host", "total", "sure", "doubt", "shingles"])
@@ -146,25 +185,49 @@ def evidence(documents: DataFrame) -> DataFrame:
     return written(texts.mapInArrow(_read, "doc_id long, host string, total int, sure int, doubt int, shingles array<long>"), "page-evidence")
 
 
-def phrase_hosts(pages: DataFrame) -> DataFrame:
-    """``(shingle, first_host, last_host, pages)``: replicated are those whose first and last host differ.
-
-    Exact for "two hosts or more", and two values a shingle whatever the number of pages: they are found before the
-    shuffle too, so a phrase of a third of all pages is as cheap as any.
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        held: dict[int, list[list[str]]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            each = {h: shingles(x) for h, x in held.items()}
+            hosts = np.repeat(np.fromiter(each, np.int64, len(each)), [len(x) for x in each.values()])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*each.values(), np.empty(0, np.int64)])), pa.array(hosts)], names=["shingle", "host"])
+
+        for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            lines = held.setdefault(host, [])
+            plain = not _linked(text)
+            for line in _LINE.split(text):
+                words = _words(line, not plain and _linked(line))
+                if len(words) >= SHINGLE:
+                    lines.append(words)
+            size += len(text)
+            if size > 5_000_000:
+                yield flush()
+                held, size = {}, 0
+        yield flush()
+
+
+def replicated_phrases(documents: DataFrame) -> DataFrame:
+    """``(shingle)`` of the shingles that stand on two hosts or more, over all lines of all non-empty documents.
+
+    Each shingle keeps its least and greatest host hash: exact for "two or more", and two values whatever the number of
+    pages. They are found before the shuffle too, so a phrase of a third of all pages is as cheap as any.
     """
-    exploded = pages.select("host", F.explode("shingles").alias("shingle"))
-    return exploded.groupBy("shingle").agg(F.min("host").alias("first_host"), F.max("host").alias("last_host"), F.count("*").alias("pages"))
+    texts = documents.where("length(text) > 0").select(F.xxhash64(F.coalesce("source", F.lit(""))).alias("host"), "text")
+    hosts = texts.mapInArrow(_explode, "shingle long, host long").groupBy("shingle").agg(F.min("host").alias("first_host"), F.max("host").alias("last_host"))
+    return hosts.where("first_host <> last_host").select("shingle")
 
 
 def spam_pages(documents: DataFrame, share: float = SHARE) -> DataFrame:
     """``(doc_id, total, evidence)`` of the pages whose evidence makes up at least ``share`` of their words."""
-    pages = evidence(documents).where(F.col("total") >= FEWEST)
-    clear = pages.where(F.col("sure") >= share * F.col("total"))
-    open_ = pages.where((F.col("sure") < share * F.col("total")) & (F.col("sure") >= LISTED * F.col("total")) & (F.col("sure") + F.col("doubt") >= share * F.col("total")) & (F.size("shingles") > 0))
-    hosts = phrase_hosts(pages).where("first_host <> last_host").select("shingle", F.lit(1).alias("elsewhere"))
+    pages = evidence(documents).where((F.col("total") >= FEWEST) & (F.col("sure") >= LISTED * F.col("total")) & (F.col("sure") + F.col("doubt") >= share * F.col("total")))
     # repeated rows are pages of their own: each is known by its values and how often it stands
-    kept = open_.groupBy("doc_id", "host", "total", "sure", "doubt", "shingles").agg(F.count("*").alias("copies"))
-    judged = kept.select("doc_id", "host", "total", "sure", "doubt", "copies", F.explode("shingles").alias("shingle")).join(hosts, "shingle", "left")
-    shares = judged.groupBy("doc_id", "host", "total", "sure", "doubt", "copies").agg(F.avg(F.coalesce("elsewhere", F.lit(0))).alias("replicated"))
-    stitched = shares.where(F.col("replicated") >= REPLICATED).select("doc_id", "total", (F.col("sure") + F.col("doubt")).alias("evidence"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
-    return clear.select("doc_id", "total", F.col("sure").alias("evidence")).unionByName(stitched)
+    kept = pages.groupBy("doc_id", "host", "total", "sure", "doubt", "shingles").agg(F.count("*").alias("copies"))
+    elsewhere = replicated_phrases(documents).withColumn("elsewhere", F.lit(1))
+    page = ("doc_id", "host", "total", "sure", "doubt", "copies", "text")
+    judged = kept.withColumn("text", F.xxhash64("shingles")).select(*page, F.explode_outer("shingles").alias("shingle")).join(elsewhere, "shingle", "left")
+    shares = judged.groupBy(*page).agg(F.avg(F.coalesce("elsewhere", F.lit(0))).alias("replicated"))
+    found = shares.withColumn("evidence", F.col("sure") + F.when(F.col("replicated") >= REPLICATED, F.col("doubt")).otherwise(0)).where(F.col("evidence") >= share * F.col("total"))
+    return found.select("doc_id", "total", "evidence", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")

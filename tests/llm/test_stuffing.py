@@ -62,3 +62,20 @@ def test_pages(spark):
     got = sorted(r["doc_id"] for r in ops.spam_pages(df).collect())
     assert got == sorted([*range(len(SPAM)), 0, 100, 101, 101, 106])
     assert ops.spam_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("place", ["sentence", "heading", "table", "stub"])
+def test_phrases_of_all_lines_count(spark, place):
+    doubtful = "the kettle and the lantern of our village are for sale at any time of the day here"
+    half = ", ".join(NAMES) + "\n" + doubtful
+    copy = {"sentence": f"{SENTENCES}{doubtful}.", "heading": f"# {doubtful}\n\n{SENTENCES}", "table": f"| {doubtful} | x |\n\n{SENTENCES}", "stub": " ".join(doubtful.split()[:13])}[place]
+    schema = "doc_id long, text string, source string"
+    assert ops.spam_pages(spark.createDataFrame([(1, half, "a"), (2, copy, "a")], schema)).count() == 0
+    assert [r["doc_id"] for r in ops.spam_pages(spark.createDataFrame([(1, half, "a"), (2, copy, "b")], schema)).collect()] == [1]
+
+
+def test_phrases_enter_pages_of_list_evidence(spark):
+    mostly = ", ".join(NAMES * 4) + "\nthe kettle and the lantern of our village"
+    schema = "doc_id long, text string, source string"
+    (row,) = ops.spam_pages(spark.createDataFrame([(1, mostly, "a"), (2, "# the kettle and the lantern of our village", "b")], schema)).collect()
+    assert (row["total"], row["evidence"]) == (56, 56)
