@@ -29,7 +29,8 @@ SHINGLE = 5
 REPLICATED = 0.5  # share of a page's doubtful shingles that other hosts hold too
 LISTED = 0.25  # share of a page's words that must be list evidence for replicated phrases to join it
 FEWEST = 15  # words; a page with fewer is a stub
-REPEATED = (5, 0.08)  # a pair of neighbours is stuffed if it stands so often, and makes up this share of the words
+REPEATED = (5, 0.08)  # a pair of neighbours is stuffed if it stands so often, and makes up this share of the words,
+COVERED = 0.5  # or if all pairs that stand so often outside of sentences, headings, tables and logs cover this share
 VARIED = 0.4  # share of different words from which a punctuated line is a sentence, whatever pairs it repeats
 
 _LINE = re.compile(r"\r\n|\r|\n")
@@ -102,6 +103,15 @@ def shingles(lines: list[list[str]]) -> np.ndarray:
     return np.unique(sums ^ (sums >> np.uint64(32))).view(np.int64)
 
 
+def _hit(words: list[str], pairs: set[tuple[str, str]]) -> list[bool]:
+    """Which words stand in one of the pairs."""
+    hit = [False] * len(words)
+    for i, p in enumerate(zip(words, words[1:], strict=False)):
+        if p in pairs:
+            hit[i] = hit[i + 1] = True
+    return hit
+
+
 class Page:
     """Counts of a page's words: ``total``, ``sure`` list evidence, and ``doubt`` with its word sequences."""
 
@@ -122,27 +132,31 @@ class Page:
         self.phrases: list[list[str]] = []
         read = []
         pairs: Counter[tuple[str, str]] = Counter()
+        loose: Counter[tuple[str, str]] = Counter()
         for kind, line in lines:
             linked = _linked(line)
             inside, outside = _links_only(line) if linked else (0, 0)
             words = _words(line, linked)
-            read.append((kind, line, words, inside, outside, linked))
+            varied = len(set(words)) >= VARIED * len(words) and _END.search(line)
+            shaped = _HEADING.match(line) or line.lstrip().startswith("|") or _LOG.match(line)
+            read.append((kind, line, words, inside, outside, linked, varied, shaped))
             self.total += max(len(words), inside + outside)
             if not kind:
                 pairs.update(zip(words, words[1:], strict=False))
+                if not varied and not shaped:
+                    loose.update(zip(words, words[1:], strict=False))
         least = max(REPEATED[0], REPEATED[1] * self.total)
         stuffed = {p for p, n in pairs.items() if n >= least}
-        for kind, line, words, inside, outside, linked in read:
+        often = {p for p, n in loose.items() if n >= REPEATED[0]}
+        if often and sum(sum(_hit(words, often)) for kind, _, words, *_, varied, shaped in read if not (kind or varied or shaped)) < COVERED * self.total:
+            often = set()
+        for kind, line, words, inside, outside, linked, varied, shaped in read:
             count = max(len(words), inside + outside)
             if kind or not count:
                 continue
-            if stuffed:
-                hit = [False] * len(words)
-                for i, p in enumerate(zip(words, words[1:], strict=False)):
-                    if p in stuffed:
-                        hit[i] = hit[i + 1] = True
-                varied = len(set(words)) >= VARIED * len(words) and _END.search(line)
-                if sum(hit) * 2 >= len(words) > 0 and not varied:
+            telling = stuffed if shaped else stuffed | often
+            if telling and not varied:
+                if sum(_hit(words, telling)) * 2 >= len(words) > 0:
                     self.sure += count
                     continue
             if linked and inside and outside <= 2:
@@ -152,7 +166,7 @@ class Page:
             if _HASHTAG.search(line) and len(_HASHTAG.findall(line)) * 5 >= len(stripped.split()) * 3:
                 self.sure += count
                 continue
-            if _HEADING.match(line) or stripped.startswith("|") or _LOG.match(line) or _TAG.sub("", stripped) == "":
+            if shaped or _TAG.sub("", stripped) == "":
                 continue
             if not _END.search(_URL.sub("", stripped)):
                 items = [x for x in _ITEM.split(_URL.sub(" ", stripped)) if x.strip()]
@@ -203,7 +217,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(words) >= SHINGLE:
                     lines.append(words)
             size += len(text)
-            if size > 5_000_000:
+            if size > 12_000_000:
                 yield flush()
                 held, size = {}, 0
         yield flush()

@@ -79,3 +79,17 @@ def test_phrases_enter_pages_of_list_evidence(spark):
     schema = "doc_id long, text string, source string"
     (row,) = ops.spam_pages(spark.createDataFrame([(1, mostly, "a"), (2, "# the kettle and the lantern of our village", "b")], schema)).collect()
     assert (row["total"], row["evidence"]) == (56, 56)
+
+
+@pytest.mark.parametrize("phrases", [5, 8, 20])
+def test_rotated_keywords(phrases):
+    made = [f"{a} {b} {c}" for a, b, c in zip(NAMES * 2, [*NAMES[5:], *NAMES[:5]] * 2, ["shop", "price", "deal", "sale"] * 6)][:phrases]
+    assert share(" ".join(made * 20)) >= ops.SHARE
+    assert share("\n".join(made * 20)) >= ops.SHARE
+    assert share(SENTENCES * 20 + " ".join(made * 5)) < ops.SHARE
+
+
+def test_set_forms_are_not_rotated_keywords():
+    rows = "\n".join(f"| kettle {n} |" for n in NAMES * 5)
+    steps = "\n".join("The kettle of the mason stands on the wall of the garden." for _ in range(12))
+    assert share(rows) < ops.SHARE and share(steps) < ops.SHARE
