@@ -6,8 +6,9 @@ comparisons, type parameters, operators, globs, file names, identifiers, indices
 them. For clean text HTML goes through the streaming parser of the standard library; headings, lists, code and
 formulas stay, in plain form.
 
-Where a body is a whole HTML page, lines of content are told from lines of page furniture by their text-to-tag ratio:
-the ratios are smoothed by a Gaussian, and the lines above a threshold of their spread form the content regions.
+Where a body is HTML, of any length, it is cut at line ends and block tags, and lines of content are told from lines of
+page furniture by their text-to-tag ratio: the ratios are smoothed by a Gaussian, and the lines above a threshold of
+their spread form the content regions. Headings, list items, table rows, code and formulas stay wherever they are.
 """
 
 from __future__ import annotations
@@ -243,8 +244,12 @@ def content_lines(text: str, sigma: float = 1.0) -> list[bool]:
     The threshold is the standard deviation of the smoothed ratios, at most half their mean, so that an even page is
     content throughout.
     """
+    return _regions(text.split("\n"), sigma)
+
+
+def _regions(lines: list[str], sigma: float = 1.0) -> list[bool]:
     ratios = []
-    for line in text.split("\n"):
+    for line in lines:
         tags = len(_TAG.findall(line)) + len(_COMMENT.findall(line))
         ratios.append(len(_TAG.sub("", _COMMENT.sub("", line)).strip()) / max(1, tags))
     reach = max(1, math.ceil(3 * sigma))
@@ -259,6 +264,50 @@ def content_lines(text: str, sigma: float = 1.0) -> list[bool]:
     return [s >= threshold for s in smooth]
 
 
+_BLOCKS = "(?:" + "|".join(sorted([*_Reader._BREAKS, "li", "h[1-6]", "pre", "nav", "aside", "body", "head", "html", "title"], key=len, reverse=True)) + ")"
+_CUT = re.compile(rf"\n|</{_BLOCKS}\s*>(?:[ \t]*\n)?|(?=<{_BLOCKS}[\s>/])", re.I)
+_STAYS = re.compile(r"<h[1-6][\s>]|<(?:code|kbd|samp|math|pre)[\s>]|\ue000|^[ \t]*#{1,6}[ \t]|^[ \t]*={2,6}[^=]", re.I)
+_DEPTHS = {"ul": "list", "ol": "list", "dl": "list", "table": "list", "pre": "code", "nav": "nav", "footer": "nav"}
+_BOXES = frozenset("address article aside blockquote body center div fieldset figure footer form header html main nav section".split())
+_SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
+_LISTED = re.compile(r"<(?:li|dt|dd|tr|td|th|caption)[\s>]", re.I)
+
+
+def pieces(text: str) -> list[str]:
+    """The text cut behind line ends and closing block tags, and before opening ones; joined it is the text again."""
+    cuts = sorted({0, len(text), *(m.end() for m in _CUT.finditer(text))})
+    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _without_furniture(text: str) -> str:
+    """An HTML text without the words of short lines outside of the content regions; their tags stay, since lists need them.
+
+    HTML is a text of whose pieces at least half hold a tag. Left in any case are headings, code, formulas, sentences,
+    text that no element encloses, and list items and table rows that don't stand in a ``nav`` or ``footer``.
+    """
+    each = pieces(text)
+    full = [x for x in each if x.strip()]
+    if sum(bool(_TAG.search(x)) for x in full) * 2 < len(full):
+        return text
+    depth = dict.fromkeys(("list", "code", "nav", "box"), 0)
+    out = []
+    for x, good in zip(each, _regions(each), strict=True):
+        inside = dict(depth)
+        for m in _TAG.finditer(x):
+            name = m[2].lower()
+            for kind in filter(None, (_DEPTHS.get(name), "box" if name in _BOXES else None)):
+                depth[kind] = max(0, depth[kind] + (-1 if m[1] else 1))
+                inside[kind] = max(inside[kind], depth[kind])
+        shown = _TAG.sub("", x)
+        loose = shown == x and not inside["box"]
+        stays = loose or _STAYS.search(x) or _SENTENCE.search(shown) or inside["code"] or ((inside["list"] or _LISTED.search(x) or _ITEM.match(x)) and not inside["nav"])
+        if good or stays or len(shown.split()) > 4:
+            out.append(x)
+        else:
+            out.append("".join(m[0] for m in _TAG.finditer(x)) + "\n" * x.endswith("\n"))
+    return "".join(out)
+
+
 def clean(text: str | None) -> str | None:
     """The text without markup, with headings (``#``), lists (``-``, ``1.``), code blocks and formulas in plain form.
 
@@ -288,12 +337,7 @@ def clean(text: str | None) -> str | None:
         text = re.sub(r"(?<![\w:\\/])\\[a-zA-Z]+\*?(?:\[[^\[\]\n]*\])?\{([^{}]*)\}", r"\1", text)
         text = _BARE.sub("", text)
     if "html" in found:
-        lines = text.split("\n")
-        tagged = sum(bool(_TAG.search(x)) for x in lines)
-        if len(lines) >= 20 and tagged * 2 >= len(lines):
-            # a whole page; lines outside of the content regions go if no sentence stands in them
-            regions = content_lines(text)
-            text = "\n".join(x for x, good in zip(lines, regions, strict=True) if good or len(_TAG.sub("", x).split()) > 4)
+        text = _without_furniture(text)
         reader = _Reader()
         # what only looks like a tag must not reach the parser
         safe = re.sub(r"<(?!/?" + _NAME + r"(?=[\s>/])|!--|!DOCTYPE)", "&lt;", text, flags=re.I)

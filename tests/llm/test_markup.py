@@ -74,3 +74,29 @@ def test_rows(spark):
     texts = {r["id"]: (r["clean_body"], r["clean_hierarchy"]) for r in m.read(df, True).collect()}
     assert texts == {"a": ("x and y", ["plain", "it", None]), "b": ("plain now", []), "c": (None, None)}
     assert m.read(df.limit(0)).count() == 0
+
+
+LONG = "<p>A long sentence of real content stands in this line of the page.</p>"
+
+
+@pytest.mark.parametrize("glue", ["\n", ""])
+@pytest.mark.parametrize("n", [5, 12])
+def test_furniture_of_pages_of_any_length(glue, n):
+    page = glue.join(["<div><a href='#'>x</a></div>"] * n + [LONG] * 4 + ["<div><a href='#'>y</a></div>"] * n)
+    words = m.clean(page).split()
+    assert words.count("real") == 4 and words.count("x") <= 2 and words.count("y") <= 2
+
+
+@pytest.mark.parametrize("glue", ["\n", ""])
+def test_lists_headings_code_and_formulas_stay(glue):
+    kept = ["<h2>Short head</h2>", "<ul>", *["<li>two words</li>"] * 10, "</ul>", "<ol>", "<li>one</li>", "<li><p>two</p></li>", "</ol>", "<pre>x = 1</pre>", "<div>$x^2$</div>", "<table>", "<tr><td>a</td><td>b</td></tr>", "</table>"]
+    got = m.clean(glue.join([*kept, *[LONG] * 10]))
+    assert got.count("- two words") == 10 and "## Short head" in got and "x = 1" in got and "$x^2$" in got and "a b" in got
+    assert "1. one" in got and "2. " in got and got.split().count("real") == 10
+    assert m.clean("".join(m.pieces(glue.join(kept)))) == m.clean(glue.join(kept))
+
+
+def test_text_around_html_stays():
+    items = "<ul>\n" + "".join(f"  <li>Version 3.{i} made the folder lenient, and operators had to replay 605 records by hand.\n" for i in range(3)) + "</ul>"
+    got = m.clean(f"See [replica][a1].\n\n{items}\n\n我们暂时不删除标题，因为查询还没有完成。\n\n![partition migration](img/a.png)\n\n{LONG}\n<div>Yes, it is.</div>")
+    assert all(x in got for x in ("See replica.", "查询还没有完成。", "partition migration", "Yes, it is.")) and got.count("- Version") == 3
