@@ -50,9 +50,10 @@ MAGIC_WORDS = "TOC NOTOC FORCETOC NOEDITSECTION NEWSECTIONLINK NONEWSECTIONLINK
 # ----------------------------------------------------------------------------------------------------------------
 
 _NAME = "(?:" + "|".join(sorted(HTML_NAMES, key=len, reverse=True)) + ")"
-_ATTR = r"""(?:\s+[a-zA-Z_:@][\w:.@-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?)*"""
+_ATTR = r"""(?:(?:\s+|(?<=["']))[a-zA-Z_:@][\w:.@-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?)*"""
 _TAG = re.compile(rf"<(/?)({_NAME}){_ATTR}\s*/?>", re.I)
 _COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE\s[^<>]*>|<!\[CDATA\[", re.S | re.I)
+_LEGACY = re.compile(r"&(" + "|".join(sorted((x for x in html5 if not x.endswith(";")), key=len, reverse=True)) + r")(?![\w=;&])")
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 
 _FENCED = re.compile(r"^ {0,3}(`{3,}|~{3,})[^\n]*\n(?:.*?^ {0,3}\1[`~]*[ \t]*$|.*\Z)", re.S | re.M)
@@ -129,7 +130,7 @@ def _is_html(text: str) -> bool:
             if name in closes or "=" in m[0]:
                 return True
     if "&" in text:
-        return any(m[1][0] == "#" or m[1] + ";" in html5 for m in _ENTITY.finditer(text))
+        return any(m[1][0] == "#" or m[1] + ";" in html5 for m in _ENTITY.finditer(text)) or bool(_LEGACY.search(text))
     return False
 
 
@@ -341,7 +342,7 @@ def clean(text: str | None) -> str | None:
         reader = _Reader()
         # what only looks like a tag must not reach the parser
         safe = re.sub(r"<(?!/?" + _NAME + r"(?=[\s>/])|!--|!DOCTYPE)", "&lt;", text, flags=re.I)
-        reader.feed(re.sub(r"&(?!#\d|#[xX]|[A-Za-z][A-Za-z0-9]*;)", "&amp;", safe))
+        reader.feed(re.sub(r"&(?!#\d|#[xX]|[A-Za-z][A-Za-z0-9]*;|" + _LEGACY.pattern[1:] + ")", "&amp;", safe))
         reader.close()
         text = "".join(reader.out)
         if _TAG.search(text):  # tags that were written as character references

@@ -100,3 +100,13 @@ def test_text_around_html_stays():
     items = "<ul>\n" + "".join(f"  <li>Version 3.{i} made the folder lenient, and operators had to replay 605 records by hand.\n" for i in range(3)) + "</ul>"
     got = m.clean(f"See [replica][a1].\n\n{items}\n\n我们暂时不删除标题，因为查询还没有完成。\n\n![partition migration](img/a.png)\n\n{LONG}\n<div>Yes, it is.</div>")
     assert all(x in got for x in ("See replica.", "查询还没有完成。", "partition migration", "Yes, it is.")) and got.count("- Version") == 3
+
+
+@pytest.mark.parametrize(("text", "cleaned"), [('A <img src="x"alt="y"> b.', "A  b."), ("x &copy 2024", "x © 2024"), ("5 &lt 6", "5 < 6")])
+def test_forms_only_a_parser_sees(text, cleaned):
+    assert m.families(text) == ["html"] and m.clean(text) == cleaned
+
+
+@pytest.mark.parametrize("text", ["http://a.test/?x=1&copy=2&lt=3", "R&D, AT&T", "a &notit b", 'say "x"y > z'])
+def test_no_forms_of_a_parser(text):
+    assert m.families(text) == []
