@@ -147,6 +147,12 @@ def more_like_this(spark, folder):
     return found.select("id", F.round("score", 5).alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
 
+def more_like_each(spark, folder):
+    """The ten chunks most like each query chunk, out of all chunks. Queries are the chunks whose id's hash is divisible by 50."""
+    index = _index(spark, folder)
+    return similar.more_like_each(index.chunks.where("pmod(xxhash64(id), 50) = 0"), index)
+
+
 def similar_terms(spark, folder):
     """The query terms that the same source gives."""
     index = _index(spark, folder)
@@ -206,6 +212,7 @@ QUERIES = {
     "match_ranges": match_ranges,
     "snippet": snippet,
     "more_like_this": more_like_this,
+    "more_like_each": more_like_each,
     "similar_terms": similar_terms,
     "batched_terms": batched_terms,
 }

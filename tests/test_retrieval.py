@@ -1,7 +1,9 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from arborseek.operators import similar
 from arborseek.plans import catalog, retrieval
 
 CHUNKS = "id string, doc_id string, parent_id string, hierarchy array<string>, depth int, tags array<string>, path string, tree string, body string, position int, byte_start long, byte_end long, sibling_count int, mtime timestamp"
@@ -40,3 +42,14 @@ def test_batched_terms_answers_every_term(spark, tmp_path):
     spark.createDataFrame(rows, CHUNKS).write.parquet(f"{tmp_path}/chunks.parquet")
     got = {r["term"]: r["id"] for r in retrieval.batched_terms(spark, str(tmp_path)).collect()}
     assert got == {w: "t:a" for w in words} | {"w000": "t:b", "w001": "t:c", "longer": "t:b"}
+
+
+def test_more_like_each_agrees_with_one_source(spark, folder):
+    index = retrieval._index(spark, folder)
+    ids = ["t:d00", "t:d05", "t:d30"]
+    got = similar.more_like_each(index.chunks.where(index.chunks.id.isin(*ids)), index).collect()
+    for source in ids:
+        one = similar.more_like(similar.source_of_chunk(index, source), index, exclude=(source,)).select("id", F.round("score", 5).alias("score"))
+        want = [(r["id"], r["score"]) for r in one.orderBy(F.desc("score"), "id").limit(10).collect()]
+        assert want and sorted((-r["score"], r["id"]) for r in got if r["source"] == source) == [(-s, i) for i, s in want]
+    assert "more_like_each" in retrieval.QUERIES
