@@ -2,20 +2,24 @@
 
 A run rereads the source from the oldest transaction that was open when the last successful run read
 (:func:`reread_from`), because such a transaction may commit rows stamped earlier than others already seen, and
-removes the overlap by an anti-join of (key, version) pairs with the ledger (:func:`unprocessed`). The ledger is
-appended to only by a commit marker that is written last (:class:`Ledger`): a run that fails leaves nothing that
-the next one would take for done, a run that is repeated adds no pair twice.
+removes the overlap by an anti-join of (key, version) pairs with the ledger (:func:`unprocessed`). What is left is
+written once, so that what is processed and what is recorded are the same rows (:func:`run_once`). The ledger is
+appended to only by a commit marker that is written last and never replaced (:class:`Ledger`): a run that fails
+leaves nothing that the next one would take for done, a run that is repeated after its commit does nothing.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborseek.session import written
+
 
 def clean_path(path: Column | str) -> Column:
     """A relative path with single forward slashes and without dot segments.
@@ -73,33 +77,38 @@ def recorded_state(log: DataFrame, runs: DataFrame, key: Column) -> DataFrame:
     return last.where("entry.put = 1").select("key", "entry.version")
 
 
-def unprocessed(source: DataFrame, ledger: DataFrame, since: datetime | None = None) -> DataFrame:
+def unprocessed(source: DataFrame, ledger: DataFrame, since: datetime | None = None, stamp: str = "version", single: bool = False) -> DataFrame:
     """Rows of ``source(key, version, ...)`` whose (key, version) pair the ledger lacks; null versions are a version.
 
-    ``since`` bounds what is reread; rows without a version are always reread.
+    ``since`` bounds what is reread by the column ``stamp``, the moment a row was written, which must never move
+    backwards; rows without a stamp are always reread. Without ``since`` everything is.
+
+    With ``single`` both sides hold one row a key: the pairs are then compared within a join by key alone, which uses
+    the partitioning that an aggregation by key left behind.
     """
-    fresh = source if since is None else source.where((F.col("version") >= F.lit(since)) | F.col("version").isNull())
-    seen = ledger.select(F.col("key").alias("__key"), F.col("version").alias("__version")).distinct()
-    return fresh.join(seen, (F.col("key") == F.col("__key")) & F.col("version").eqNullSafe(F.col("__version")), "left_anti")
+    fresh = source if since is None else source.where((F.col(stamp) >= F.lit(since)) | F.col(stamp).isNull())
+    seen = ledger.select(F.col("key").alias("__key"), F.col("version").alias("__version"))
+    version, known = F.col("version"), F.col("__version")
+    agree = (version.isNull() & known.isNull()) | (version == known) if single else version.eqNullSafe(known)
+    return fresh.join(seen, (F.col("key") == F.col("__key")) & agree, "left_anti")
 
 
 def changes(source: DataFrame, recorded: DataFrame) -> DataFrame:
     """``(key, change_kind)``: ``added``, ``modified`` or ``removed``, once for each key that differs.
 
     ``source`` has ``(key, version)`` with any number of rows a key, of which the greatest version counts;
-    ``recorded`` has one row a key. Both anti-joins of (key, version) pairs, source against ledger and ledger
-    against source, share the shuffle by key of one full outer join: pairs that agree drop out, what is left
-    on either side names the change. Rows without a key are left out.
+    ``recorded`` has one row a key. The pairs of the source that the record lacks and those of the record that the
+    source lacks come from :func:`unprocessed`, asked in both directions: a key on both sides was modified, one on
+    the first only added, one on the second only removed. All three joins are by key and share one shuffle of each
+    side. Rows without a key are left out.
     """
-    now = source.where("key is not null").groupBy("key").agg(F.max("version").alias("now"), F.lit(True).alias("here"))
-    then = recorded.select("key", F.col("version").alias("then"), F.lit(True).alias("known"))
-    both = now.join(then, "key", "full_outer")
-    kind = (
-        F.when(F.col("known").isNull(), "added")
-        .when(F.col("here").isNull(), "removed")
-        .when(~F.col("now").eqNullSafe(F.col("then")), "modified")
-    )
-    return both.select("key", kind.alias("change_kind")).where("change_kind is not null")
+    now = source.where("key is not null").groupBy("key").agg(F.max("version").alias("version"))
+    then = recorded.select("key", "version").where("key is not null")
+    fresh = unprocessed(now, then, single=True).select("key", F.lit(True).alias("__fresh"))
+    stale = unprocessed(then, now, single=True).select("key", F.lit(True).alias("__stale"))
+    both = fresh.join(stale, "key", "full_outer")
+    kind = F.when(F.col("__stale").isNull(), "added").when(F.col("__fresh").isNull(), "removed").otherwise("modified")
+    return both.select("key", kind.alias("change_kind"))
 
 
 def document_changes(chunks: DataFrame, manifest: DataFrame, runs: DataFrame) -> DataFrame:
@@ -118,9 +127,14 @@ def document_changes(chunks: DataFrame, manifest: DataFrame, runs: DataFrame) ->
 class Ledger:
     """Processed (key, version) pairs in a folder all executors share.
 
-    Every run writes its pairs to ``pairs/<token>`` and then one small marker ``runs/<run_id>``, which names that
-    folder; only pairs with a marker count. A crash between the two leaves pairs that nobody reads, and the rerun
-    finds the same records unprocessed. Committing a run_id again replaces its marker, so nothing is repeated.
+    Every run writes its pairs to ``pairs/<token>`` and then one small marker ``runs/<run_id>.json``, which names that
+    folder; only pairs with a marker count. A marker is written whole under another name and renamed, and is final:
+    nothing deletes or replaces it. A crash before the rename leaves pairs that nobody reads, and the rerun finds the
+    same records unprocessed; after it the run is committed, and committing it again does nothing. One run at a time
+    commits. :meth:`compact` brings the pairs of all runs into one folder.
+
+    Transactions of the source that are open are told by :meth:`begin` and :meth:`end`; a run records the start of
+    the oldest of them, and :meth:`since` gives it to the next run.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -128,23 +142,61 @@ class Ledger:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _markers(self) -> list[dict]:
-        at = self._path(f"{self.folder}/runs")
+    # --- small files
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(f"{self.folder}/{folder}")
         if not self._fs.exists(at):
             return []
-        names = [x.getPath().toString() for x in self._fs.listStatus(at) if x.getPath().getName().endswith(".json")]
-        return [json.loads(self._read(x)) for x in sorted(names)]
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(at) if x.getPath().getName().endswith(".json"))
 
-    def _read(self, path: str) -> str:
-        stream = self._fs.open(self._path(path))
+    def _read(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.folder}/{name}"))
         try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def _put(self, name: str, value: dict) -> None:
+        draft, final = self._path(f"{self.folder}/draft/{uuid.uuid4().hex}"), self._path(f"{self.folder}/{name}")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps(value).encode()))
+        out.close()
+        self._fs.mkdirs(final.getParent())
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            raise OSError(f"could not put {name}")
+
+    def _marks(self) -> list[dict]:
+        """Markers in force, in the order of their commits; those a compaction took in are left out."""
+        marks = sorted((self._read(f"runs/{n}") | {"name": n} for n in self._names("runs")), key=lambda m: m["place"])
+        gone = {n for m in marks for n in m.get("replaces", ())}
+        return [m for m in marks if m["name"] not in gone]
+
+    @staticmethod
+    def _name(run_id: int | str) -> str:
+        return f"{run_id:020d}.json" if isinstance(run_id, int) else f"{run_id}.json"
+
+    # --- transactions of the source
+
+    def begin(self, transaction: str, started: datetime) -> None:
+        self._put(f"open/{transaction}.json", {"started": started.isoformat()})
+
+    def end(self, transaction: str) -> None:
+        self._fs.delete(self._path(f"{self.folder}/open/{transaction}.json"), False)
+
+    def open_from(self, now: datetime) -> datetime:
+        """The start of the oldest open transaction, or ``now`` if none is open."""
+        return min([now, *(datetime.fromisoformat(self._read(f"open/{n}")["started"]) for n in self._names("open"))])
+
+    # --- runs
+
+    def has(self, run_id: int | str) -> bool:
+        """Whether the run committed."""
+        return self._fs.exists(self._path(f"{self.folder}/runs/{self._name(run_id)}"))
+
     def pairs(self, key: str = "string", version: str = "timestamp") -> DataFrame:
         """All (key, version) pairs of committed runs."""
-        folders = [x["pairs"] for x in self._markers()]
+        folders = [m["pairs"] for m in self._marks()]
         schema = f"key {key}, version {version}"
         if not folders:
             return self.spark.createDataFrame([], schema)
@@ -152,24 +204,48 @@ class Ledger:
 
     def since(self) -> datetime | None:
         """Where the next run starts to reread: the bound the last committed run recorded."""
-        marks = self._markers()
-        last = max(marks, key=lambda x: x["run_id"])["open_from"] if marks else None
+        marks = self._marks()
+        last = marks[-1]["open_from"] if marks else None
         return None if last is None else datetime.fromisoformat(last)
 
-    def commit(self, run_id: int, processed: DataFrame, open_from: datetime | None) -> None:
-        """Record the pairs of ``processed(key, version, ...)`` as done by ``run_id``.
+    def commit(self, run_id: int | str, processed: DataFrame, open_from: datetime | None) -> None:
+        """Record the pairs of ``processed(key, version, ...)`` as done by ``run_id``; a committed run stays as it is.
 
-        ``open_from`` is the start of the oldest transaction still open when this run read its source.
+        ``open_from`` is the start of the oldest transaction still open when this run read its source. ``processed``
+        should be a written table, or what is recorded may be more than what was processed.
         """
-        target = f"{self.folder}/pairs/{run_id}-{uuid.uuid4().hex}"
+        if self.has(run_id):
+            return
+        target = f"{self.folder}/pairs/{uuid.uuid4().hex}"
         processed.select("key", "version").distinct().write.parquet(target)
-        mark = {"run_id": run_id, "pairs": target, "open_from": open_from.isoformat() if open_from else None}
-        draft, final = self._path(f"{self.folder}/draft/{uuid.uuid4().hex}"), self._path(f"{self.folder}/runs/{run_id:020d}.json")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps(mark).encode()))
-        out.close()
-        self._fs.mkdirs(final.getParent())
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        if not self._fs.rename(draft, final):
-            raise OSError(f"could not commit run {run_id}")
+        self._mark(self._name(run_id), target, open_from.isoformat() if open_from else None)
+
+    def _mark(self, name: str, pairs: str, open_from: str | None, replaces: tuple[str, ...] = ()) -> None:
+        places = [self._read(f"runs/{n}")["place"] for n in self._names("runs")]
+        self._put(f"runs/{name}", {"place": max(places, default=0) + 1, "pairs": pairs, "open_from": open_from, "replaces": list(replaces)})
+
+    def compact(self) -> None:
+        """Bring the pairs of all runs into one folder; markers of the runs stay, so that they still count as committed."""
+        marks = self._marks()
+        if len(marks) > 1:
+            target = f"{self.folder}/pairs/{uuid.uuid4().hex}"
+            self.pairs().distinct().write.parquet(target)
+            self._mark(f"compaction-{uuid.uuid4().hex}.json", target, marks[-1]["open_from"], tuple(m["name"] for m in marks))
+
+
+def run_once(source: DataFrame, ledger: Ledger, run_id: int | str, process: Callable[[DataFrame, int | str], None], now: datetime, stamp: str | None = None) -> bool:
+    """One run over ``source(key, version, ...)``: process what the ledger lacks, then record it. False if it had committed before.
+
+    ``now`` is a moment before the source was read. Where ``stamp`` names a column that tells when a row was written,
+    in times that only grow, just the rows from the ledger's bound on are reread; without it all are, since versions
+    such as file times may lie before any bound. The bound for the next run is taken before the source is read.
+
+    A run that dies before its marker is repeated whole under its id: ``process`` must replace by ``run_id``, not append.
+    """
+    if ledger.has(run_id):
+        return False
+    open_from = ledger.open_from(now)
+    new = written(unprocessed(source, ledger.pairs(), ledger.since() if stamp else None, stamp or "version"), "run")
+    process(new, run_id)
+    ledger.commit(run_id, new, open_from)
+    return True

@@ -1,8 +1,9 @@
 from datetime import datetime as D
 
+import pytest
 from pyspark.sql import functions as F
 
-from arborseek.operators.changes import Ledger, changes, clean_path, document_changes, reread_from, unprocessed
+from arborseek.operators.changes import Ledger, changes, clean_path, document_changes, reread_from, run_once, unprocessed
 
 RUNS = "run_id long, started_at timestamp, finished_at timestamp, status string, n_files int"
 LOG = "run_id long, abs_path string, tree string, path string, mtime timestamp, op string, doc_id string"
@@ -85,3 +86,90 @@ def test_hot_key_and_clashing_columns(spark):
     rows = spark.range(3000).select(F.lit("hot").alias("key"), F.timestamp_seconds("id").alias("version"), F.lit(1).alias("change_kind"), F.lit(2).alias("now"))
     known = spark.createDataFrame([("hot", D(1970, 1, 1, 0, 49, 59))], "key string, version timestamp")
     assert changes(rows, known).count() == 0
+
+
+SOURCE = "key string, version timestamp, body string, written timestamp"
+
+
+@pytest.mark.parametrize("dies", ["process", "pairs", "marker", "checkpoint", "never"])
+def test_a_run_killed_after_any_step_loses_and_repeats_nothing(spark, tmp_path, monkeypatch, dies):
+    t, kind = [D(2025, 1, 1, i) for i in range(10)], dies
+    source = spark.createDataFrame([("a", t[1], "x", t[1]), ("b", None, "y", t[2])], SOURCE)
+    ledger, out = Ledger(spark, str(tmp_path)), {}
+
+    def process(new, run):
+        out[run] = sorted(r["key"] for r in new.collect())
+        if dies == "process":
+            raise RuntimeError
+
+    def killed(*_):
+        raise RuntimeError
+
+    with monkeypatch.context() as m:
+        if dies == "pairs":
+            m.setattr(ledger, "_mark", killed)
+        if dies == "marker":
+            m.setattr(ledger, "_put", killed)
+        if dies in ("process", "pairs", "marker"):
+            with pytest.raises(RuntimeError):
+                run_once(source, ledger, 1, process, t[3])
+            assert ledger.pairs().count() == 0 and not ledger.has(1)
+        if dies == "checkpoint":  # the marker is there, and the engine replays the batch all the same
+            run_once(source, ledger, 1, process, t[3])
+    dies = "never"
+    assert run_once(source, ledger, 1, process, t[3]) != (kind == "checkpoint")
+    assert out == {1: ["a", "b"]} and ledger.pairs().count() == 2
+    assert not run_once(source, ledger, 1, process, t[3]) and ledger.pairs().count() == 2
+    run_once(source, ledger, 2, process, t[4])
+    assert out[2] == [] and ledger.pairs().count() == 2
+
+
+def test_rereading_from_the_oldest_open_transaction(spark, tmp_path):
+    t = [D(2025, 1, 1, i) for i in range(10)]
+    ledger, out = Ledger(spark, str(tmp_path)), {}
+    process = lambda new, run: out.update({run: sorted(r["key"] for r in new.collect())})
+    first = [("a", t[1], "x", t[1]), ("b", t[1], "y", t[3])]
+    ledger.begin("slow", t[2])
+    run_once(spark.createDataFrame(first, SOURCE), ledger, 1, process, t[4], stamp="written")
+    assert ledger.since() == t[2]
+    ledger.end("slow")
+    # the slow transaction's row is stamped before b; a has an unseen version but was written before the bound
+    second = [*first, ("late", t[0], "", t[2]), ("a", t[5], "", t[1])]
+    run_once(spark.createDataFrame(second, SOURCE), ledger, 2, process, t[5], stamp="written")
+    assert out == {1: ["a", "b"], 2: ["late"]} and ledger.since() == t[5]
+    # without a stamp everything is reread
+    run_once(spark.createDataFrame(second, SOURCE), ledger, 3, process, t[6])
+    assert out[3] == ["a"]
+
+
+def test_what_is_recorded_is_what_was_processed(spark, tmp_path):
+    path, ledger, out = str(tmp_path / "in"), Ledger(spark, str(tmp_path / "ledger")), {}
+    schema = "key string, version timestamp"
+    spark.createDataFrame([("a", D(2025, 1, 1))], schema).write.parquet(path)
+
+    def process(new, run):
+        out[run] = sorted(r["key"] for r in new.collect())
+        if run == 1:  # the source moves on while the run is at work
+            spark.createDataFrame([("b", D(2025, 1, 2))], schema).write.mode("append").parquet(path)
+
+    read = lambda: spark.read.schema(schema).parquet(path)
+    run_once(read(), ledger, 1, process, D(2025, 1, 3))
+    run_once(read(), ledger, 2, process, D(2025, 1, 4))
+    assert out == {1: ["a"], 2: ["b"]}
+
+
+def test_compaction_keeps_pairs_runs_and_bound(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path))
+    for i in range(3):
+        ledger.commit(i, spark.createDataFrame([(f"k{i}", D(2025, 1, 1)), ("k", None)], "key string, version timestamp"), D(2025, 1, 1 + i))
+    ledger.compact()
+    assert len(ledger._marks()) == 1 and ledger.pairs().count() == 4 and ledger.since() == D(2025, 1, 3)
+    assert all(ledger.has(i) for i in range(3))
+    ledger.commit(3, spark.createDataFrame([("k3", None)], "key string, version timestamp"), D(2025, 1, 9))
+    assert ledger.pairs().count() == 5 and ledger.since() == D(2025, 1, 9)
+
+
+def test_null_and_clashing_keys(spark):
+    rows = spark.createDataFrame([("a", None, 1), (None, None, 2), ("b", D(2025, 1, 1), 3)], "key string, version timestamp, __fresh int")
+    known = spark.createDataFrame([("a", None), ("c", None), (None, None)], "key string, version timestamp")
+    assert {tuple(r) for r in changes(rows, known).collect()} == {("b", "added"), ("c", "removed")}
