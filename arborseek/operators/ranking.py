@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborseek.operators import scoring
+from arborseek.operators.index import EXPANDED, among
 from arborseek.session import written
 
 CANDIDATES = 50  # candidates a result
@@ -163,21 +164,22 @@ def roll_up(rows: list[tuple], known: dict[str, tuple[str | None, int]], thresho
 FOLDED = "id string, doc_id string, tree string, score double, is_aggregated boolean, constituents array<struct<id:string,score:double>>, rank_in long"
 
 
-def ancestors(cands: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``(id, doc_id, parent_id, sibling_count)`` of all chunks above the candidates, one level of the tree a round.
+def ancestors(cands: DataFrame, chunks: DataFrame) -> dict[str, tuple[str | None, int]]:
+    """``id: (parent_id, sibling_count)`` of all chunks above the candidates, one level of the tree a round until none is left.
 
-    Each level has at most as many rows as there are candidates, so it is small whatever the documents' size.
+    Each level has at most as many rows as there are candidates, whatever the documents' size, and is looked up by id;
+    an id that was seen is not looked up again, so links in a circle end too.
     """
-    slim = chunks.select("id", "doc_id", "parent_id", "sibling_count")
-    level = cands.select(F.col("parent_id").alias("__above")).where("__above is not null").distinct()
-    found = None
-    for _ in range(8):
-        step = written(slim.join(F.broadcast(level), F.col("id") == F.col("__above")).drop("__above"), "ancestors")
-        found = step if found is None else found.unionByName(step)
-        if step.where("parent_id is not null").limit(1).count() == 0:
-            break
-        level = step.select(F.col("parent_id").alias("__above")).where("__above is not null").distinct()
-    return found.distinct()
+    known: dict[str, tuple[str | None, int]] = {}
+    slim = chunks.select("id", "parent_id", "sibling_count")
+    level = {r["parent_id"] for r in cands.where("parent_id is not null").select("parent_id").distinct().collect()}
+    seen: set[str] = set()
+    while level:
+        seen |= level
+        rows = slim.where(among("id", list(level))).collect()
+        known |= {r["id"]: (r["parent_id"], r["sibling_count"] or 0) for r in rows}
+        level = {r["parent_id"] for r in rows if r["parent_id"] is not None} - seen
+    return known
 
 
 def fold(cands: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -186,12 +188,10 @@ def fold(cands: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD) -> D
     Candidates of one document only meet each other, and there are at most as many as the candidate limit.
     """
     rows = written(cands.select("id", "doc_id", "tree", "parent_id", "sibling_count", "score", "rank_in"), "candidates")
+    known = ancestors(rows, chunks)
 
-    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame(columns=["id", "doc_id", "tree", "score", "is_aggregated", "constituents", "rank_in"])
+    def one(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("rank_in")
-        known = {r.id: (r.parent_id, int(r.sibling_count or 0)) for r in right.itertuples()}
         given = [(r.id, r.parent_id if isinstance(r.parent_id, str) else None, int(r.sibling_count) if pd.notna(r.sibling_count) else 0, r.score, r.rank_in) for r in left.itertuples()]
         made = roll_up(given, known, threshold)
         return pd.DataFrame(
@@ -206,26 +206,33 @@ def fold(cands: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD) -> D
             }
         )
 
-    folded = rows.groupBy("doc_id").cogroup(ancestors(rows, chunks).groupBy("doc_id")).applyInPandas(one, FOLDED)
+    folded = rows.groupBy("doc_id").applyInPandas(one, FOLDED)
     return folded.withColumn("rank_in", F.row_number().over(Window.orderBy(F.desc("score"), "rank_in")))
 
 
+def ranked(scored: DataFrame, chunks: DataFrame, trees: DataFrame, params: SearchParams) -> DataFrame:
+    """Candidates with boosted and normalised scores."""
+    found = candidates(in_trees(scored, params.trees), params.candidate_limit)
+    if params.candidate_limit <= EXPANDED:
+        found = F.broadcast(found)
+    return normalize(boosted(found, chunks, trees, params.local_boost), len(params.trees) if params.trees else None)
+
+
 def pipeline(scored: DataFrame, chunks: DataFrame, trees: DataFrame, params: SearchParams) -> DataFrame:
     """``(id, doc_id, tree, score, is_aggregated, constituents, rank_in)`` of the results of matches ``(id, doc_id, tree, score)``."""
-    found = candidates(in_trees(scored, params.trees), params.candidate_limit)
-    ranked = normalize(boosted(found, chunks, trees, params.local_boost), len(params.trees) if params.trees else None)
+    rows = ranked(scored, chunks, trees, params)
     if params.aggregate:
-        results = fold(ranked, chunks, params.threshold)
+        results = fold(rows, chunks, params.threshold)
     else:
         none = F.array().cast("array<struct<id:string,score:double>>")
-        results = ranked.select("id", "doc_id", "tree", "score", F.lit(False).alias("is_aggregated"), none.alias("constituents"), F.col("rank_in").cast("long").alias("rank_in"))
+        results = rows.select("id", "doc_id", "tree", "score", F.lit(False).alias("is_aggregated"), none.alias("constituents"), F.col("rank_in").cast("long").alias("rank_in"))
     return elbow(results, params.cutoff_ratio, params.pool).where(F.col("rank_in") <= params.limit)
 
 
 def pipeline_stats(scored: DataFrame, chunks: DataFrame, trees: DataFrame, params: SearchParams) -> DataFrame:
-    """One row: how many rows each phase leaves."""
-    found = written(normalize(boosted(candidates(in_trees(scored, params.trees), params.candidate_limit), chunks, trees, params.local_boost)), "stats")
-    folded = written(fold(found, chunks, params.threshold), "stats")
+    """One row: how many rows each phase leaves, and why the elbow cut where it did."""
+    found = written(ranked(scored, chunks, trees, params), "stats")
+    folded = written(fold(found, chunks, params.threshold) if params.aggregate else found, "stats")
     kept = elbow(folded, params.cutoff_ratio, params.pool, reason=True)
     counts = [found.agg(F.count("*").alias("candidates")), folded.agg(F.count("*").alias("aggregated")), kept.agg(F.count("*").alias("after_elbow"), F.first("cutoff").alias("cutoff"))]
     sums = [c.select(*[F.col(x) if x in c.columns else F.lit(None).cast(t).alias(x) for x, t in (("candidates", "long"), ("aggregated", "long"), ("after_elbow", "long"), ("cutoff", "string"))]) for c in counts]

@@ -1,15 +1,18 @@
-"""From a query expression to a DataFrame ``(id, doc_id, tree, score, rank)``.
-
-All leaves of the expression are looked up together: their postings are read once, each row is scored for its leaf,
-and a single shuffle by id brings flags and scores of all leaves into one row, over which the boolean tree is plain
-column arithmetic. An expression that may hold without any leaf starts from all ids instead. What a query sends
-along (terms, frequencies) is as large as the query, not the corpus.
+"""From a query expression to a DataFrame ``(id, doc_id, tree, score)``.
+
+The words of all leaves are looked up in the vocabulary together, fuzzy ones with all terms near them. That gives a
+table of (term, leaf), with which the postings are read in one scan: where it has at most ``EXPANDED`` rows, its terms
+are a filter that reaches the scan and it is broadcast; where it has more, it is joined by whatever join Spark finds fit.
+Each row is scored for its leaf, and a single shuffle by id brings flags and scores of all leaves into one row, over
+which the boolean tree is plain column arithmetic; alternatives of plain words, of which context queries have dozens,
+are one sum. An expression that may hold without any leaf starts from all ids instead.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 from arborseek.functions.stem import stemmer
 from arborseek.functions.text import LONGEST, WORD
 from arborseek.operators import scoring
-from arborseek.operators.index import BOOSTS, FIELDS, Index
+from arborseek.operators.index import BOOSTS, EXPANDED, FIELDS, Index, among
 from arborseek.query.ast import And, Boost, Expr, Field, Not, Or, Phrase, Term
 
 NAMES = {"title": "hierarchy", "hierarchy": "hierarchy", "tags": "tags", "body": "body", "path": "path"}
@@ -37,11 +40,15 @@ class Leaf:
 
 @dataclass(frozen=True)
 class Plan:
-    """Match and score as columns over ``hit_i`` and ``score_i``; ``alone`` if it may hold without any leaf."""
+    """Match and score as columns over ``hit_i`` and ``score_i``; ``alone`` if it may hold without any leaf.
+
+    ``weights`` has the factor of each leaf where the plan is alternatives of leaves and nothing else.
+    """
 
     match: Column
     score: Column
     alone: bool
+    weights: dict[int, float] | None = None
 
 
 def analyze(text: str, language: str = "none") -> list[str]:
@@ -50,26 +57,40 @@ def analyze(text: str, language: str = "none") -> list[str]:
     return [word(w) for w in _RUN.findall(text.lower()) if len(w.encode()) < LONGEST]
 
 
+def _swaps(word: str) -> set[str]:
+    return {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+
+
 def near(term: Column | str, word: str, distance: int) -> Column:
-    """Whether a term is within an edit distance of 0 or 1 of a word, a swap of neighbours counting as one edit."""
+    """Whether a term is within an edit distance of 0, 1 or 2 of a word, a swap of neighbours counting as one edit.
+
+    Within 2 means two plain edits, or a swap in the word or in the term and one plain edit, or two swaps.
+    """
     col = F.col(term) if isinstance(term, str) else term
     if distance == 0:
         return col == word
-    if distance > 1:
-        raise CompileError("edit distances above 1 aren't supported")
-    swaps = {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+    if distance > 2:
+        raise CompileError("edit distances above 2 aren't supported")
     band = F.abs(F.char_length(col) - len(word)) <= distance
-    return band & (F.levenshtein(col, F.lit(word), distance).between(0, distance) | col.isin(sorted(swaps | {word})))
+    swaps = sorted(_swaps(word) | {word})
+    if distance == 1:
+        return band & (F.levenshtein(col, F.lit(word), 1).between(0, 1) | col.isin(swaps))
+    twice = sorted({x for w in swaps for x in _swaps(w)} | set(swaps))
+    one_off = [F.levenshtein(col, F.lit(w), 1).between(0, 1) for w in swaps]
+    turned = F.transform(F.sequence(F.lit(1), F.char_length(col) - 1), lambda i: F.concat(F.substring(col, F.lit(1), i - 1), F.substring(col, i + 1, F.lit(1)), F.substring(col, i, F.lit(1)), F.substring(col, i + 2, F.lit(1 << 20))))
+    other = (F.char_length(col) > 1) & F.exists(turned, lambda t: F.levenshtein(t, F.lit(word), 1).between(0, 1))
+    # a swap is two plain edits, so what is further than 4 of them is settled at once
+    return band & F.levenshtein(col, F.lit(word), 4).between(0, 4) & (F.levenshtein(col, F.lit(word), 2).between(0, 2) | col.isin(twice) | reduce(Column.__or__, one_off) | other)
 
 
 def expand(index: Index, words: list[str], fields: tuple[str, ...] = ("body", "hierarchy", "path"), distance: int = 1) -> DataFrame:
-    """``(word, field, term)``: the vocabulary near each query word."""
+    """``(word, field, term)``: the vocabulary near each query word, in one scan of it."""
     vocabulary = index.terms.where(F.col("field").isin(*fields))
-    made = None
-    for w in dict.fromkeys(words):
-        part = vocabulary.where(near("term", w, distance)).select(F.lit(w).alias("word"), "field", "term")
-        made = part if made is None else made.unionByName(part)
-    return made if made is not None else vocabulary.limit(0).select(F.lit("").alias("word"), "field", "term")
+    wanted = list(dict.fromkeys(words))
+    if not wanted:
+        return vocabulary.limit(0).select(F.lit("").alias("word"), "field", "term")
+    hit = F.array_compact(F.array(*[F.when(near("term", w, distance), F.lit(w)) for w in wanted]))
+    return vocabulary.select(F.explode(hit).alias("word"), "field", "term")
 
 
 class Compiler:
@@ -86,7 +107,7 @@ class Compiler:
         if made not in self.leaves:
             self.leaves.append(made)
         i = self.leaves.index(made)
-        return Plan(F.col(f"hit_{i}"), F.col(f"score_{i}"), False)
+        return Plan(F.col(f"hit_{i}"), F.col(f"score_{i}"), False, {i: 1.0})
 
     def plan(self, e: Expr, fields: tuple[str, ...] = FIELDS, scoped: bool = False) -> Plan | None:
         """None for what holds no term at all."""
@@ -97,7 +118,7 @@ class Compiler:
                 return self.leaf([t for w in words for t in analyze(w, self.index.language)], fields)
             case Boost(child, factor):
                 made = self.plan(child, fields, scoped)
-                return made and Plan(made.match, made.score * factor, made.alone)
+                return made and Plan(made.match, made.score * factor, made.alone, made.weights and {i: w * factor for i, w in made.weights.items()})
             case Not(child):
                 made = self.plan(child, fields, scoped)
                 return made and Plan(~made.match, F.when(~made.match, 1.0).otherwise(0.0), True)
@@ -113,7 +134,10 @@ class Compiler:
                 parts = [p for c in children if (p := self.plan(c, fields, scoped))]
                 if not parts:
                     return None
-                return Plan(_any([p.match for p in parts]), _sum([_where(p) for p in parts]), any(p.alone for p in parts))
+                weights: dict[int, float] | None = {}
+                for p in parts:
+                    weights = None if weights is None or p.weights is None else {i: weights.get(i, 0.0) + p.weights.get(i, 0.0) for i in weights | p.weights}
+                return Plan(_any([p.match for p in parts]), _sum([_where(p) for p in parts]), any(p.alone for p in parts), weights)
             case And(children):
                 wanted = [p for c in children if not isinstance(c, Not) and (p := self.plan(c, fields, scoped))]
                 barred = [p for c in children if isinstance(c, Not) and (p := self.plan(c.child, fields, scoped))]
@@ -134,26 +158,61 @@ class Compiler:
 
     # --- leaves to rows
 
+    def lookup(self) -> tuple[DataFrame, list[str] | None]:
+        """``(field, term, leaf, place, idf)`` of all leaves, with its terms if they are few enough to filter by."""
+        index = self.index
+        wanted = {(w, leaf.fuzzy) for leaf in self.leaves for w in leaf.words}
+        exact = sorted({w for w, d in wanted if not d})
+        # what isn't near any word has no parts; exact words alone are a filter that reaches the scan
+        fits = among("term", exact) if all(not d for _, d in wanted) else F.lit(True)
+        parts = F.array_compact(
+            F.array(
+                *[
+                    F.when(F.col("field").isin(*leaf.fields) & near("term", w, leaf.fuzzy), F.struct(F.lit(i).alias("leaf"), F.lit(k).alias("place")))
+                    for i, leaf in enumerate(self.leaves)
+                    for k, w in enumerate(leaf.words)
+                ]
+            )
+        )
+        idf = scoring.bm25_idf("df", index.count)
+        table = index.terms.where(fits).select("field", "term", idf.alias("idf"), F.inline(parts))
+        few = table.limit(EXPANDED + 1).collect()
+        if len(few) > EXPANDED:
+            return table, None
+        made = index.chunks.sparkSession.createDataFrame(few, "field string, term string, idf double, leaf int, place int")
+        return made, sorted({r["term"] for r in few})
+
     def hits(self) -> DataFrame | None:
-        """``(leaf, id, doc_id, tree, score)``, one row a leaf and field."""
-        made = None
+        """``(leaf, id, doc_id, tree, score)``, one row a leaf and field; the postings are read in one scan."""
+        if not self.leaves:
+            return None
         index = self.index
         averages = {r["field"]: r["avg_len"] for r in index.stats.collect()}  # one row a field
-        exact = sorted({w for leaf in self.leaves for w in leaf.words if not leaf.fuzzy})
-        df = {(r["field"], r["term"]): r["df"] for r in index.terms.where(F.col("term").isin(exact)).collect()} if exact else {}
-        boost = lambda fields: _pick("field", {f: self.boosts.get(f, 1.0) for f in fields})
-        for i, leaf in enumerate(self.leaves):
-            scope = index.postings.where(F.col("field").isin(*leaf.fields))
-            if leaf.fuzzy:
-                rows = scope.where(near("term", leaf.words[0], leaf.fuzzy)).select("id", "doc_id", "tree", "field").distinct()
-                score = F.lit(1.0)  # an automaton over the vocabulary scores a constant
-            else:
-                idf = {f: sum(_idf(df.get((f, w), 0), index.count) for w in leaf.words) for f in leaf.fields}
-                rows = scope.where(F.col("term") == leaf.words[0]) if len(leaf.words) == 1 else phrase_hits(scope, leaf.words)
-                score = scoring.bm25("tf", "len", _pick("field", {f: averages.get(f) or 1.0 for f in leaf.fields}), _pick("field", idf))
-            part = rows.select(F.lit(i).alias("leaf"), "id", "doc_id", "tree", (score * boost(leaf.fields)).alias("score"))
-            made = part if made is None else made.unionByName(part)
-        return made
+        table, terms = self.lookup()
+        fields = sorted({f for leaf in self.leaves for f in leaf.fields})
+        scope = index.postings.where(F.col("field").isin(*fields))
+        phrases = [i for i, leaf in enumerate(self.leaves) if len(leaf.words) > 1]
+        if terms is not None:
+            scope, table = scope.where(among("term", terms)), F.broadcast(table)
+        rows = scope.join(table, ["field", "term"])
+        boost = _pick("field", {f: self.boosts.get(f, 1.0) for f in fields})
+        length = _pick("field", {f: averages.get(f) or 1.0 for f in fields})
+        if phrases or any(leaf.fuzzy for leaf in self.leaves):
+            # terms of one leaf meet: those near one word count once, those of a phrase must stand in a row
+            spots = F.collect_list(F.when(F.col("leaf").isin(phrases), F.struct("place", "positions"))) if phrases else F.lit(None)
+            whole = rows.repartition("id").groupBy("leaf", "id", "doc_id", "tree", "field", "len").agg(F.max("tf").alias("tf"), F.sum("idf").alias("idf"), spots.alias("spots"))
+            if phrases:
+                size = _pick("leaf", {i: len(self.leaves[i].words) for i in phrases})
+                starts = F.transform("spots", lambda s: F.transform(s["positions"], lambda p: p - s["place"]))
+                both = F.aggregate(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.try_element_at(starts, F.lit(1)), lambda a, b: F.array_intersect(a, b))
+                tf = F.when(~F.col("leaf").isin(phrases), F.col("tf")).when(F.size("spots") == size, F.size(both)).otherwise(0)
+                whole = whole.withColumn("tf", tf.cast("long")).where("tf > 0")
+            rows = whole
+        fuzzy = [i for i, leaf in enumerate(self.leaves) if leaf.fuzzy]
+        score = scoring.bm25("tf", "len", length, F.col("idf"))
+        if fuzzy:  # an automaton over the vocabulary scores a constant
+            score = F.when(F.col("leaf").isin(fuzzy), F.lit(1.0)).otherwise(score)
+        return rows.select("leaf", "id", "doc_id", "tree", (score * boost).alias("score"))
 
     def run(self, e: Expr | None) -> DataFrame:
         """``(id, doc_id, tree, score)`` of all matches; no expression, or one without terms, matches nothing."""
@@ -161,38 +220,24 @@ class Compiler:
         if plan is None:
             return self.index.chunks.select("id", "doc_id", "tree", F.lit(0.0).alias("score")).limit(0)
         hits = self.hits()
-        flags = [f"hit_{i}" for i in range(len(self.leaves))] + [f"score_{i}" for i in range(len(self.leaves))]
         if hits is None:
-            rows = self.index.chunks.select("id", "doc_id", "tree")
+            return self.index.chunks.select("id", "doc_id", "tree").where(plan.match).select("id", "doc_id", "tree", plan.score.alias("score"))
+        if plan.weights is not None:
+            weighed = hits.withColumn("score", F.col("score") * _pick("leaf", plan.weights))
+            return weighed.groupBy("id").agg(F.first("doc_id").alias("doc_id"), F.first("tree").alias("tree"), F.sum("score").alias("score"))
+        flags = [f"hit_{i}" for i in range(len(self.leaves))] + [f"score_{i}" for i in range(len(self.leaves))]
+        own = [F.max(F.col("leaf") == i).alias(f"hit_{i}") for i in range(len(self.leaves))]
+        own += [F.sum(F.when(F.col("leaf") == i, F.col("score")).otherwise(0.0)).alias(f"score_{i}") for i in range(len(self.leaves))]
+        if plan.alone:
+            found = hits.groupBy("id").agg(*own)
+            rows = self.index.chunks.select("id", "doc_id", "tree").join(found, "id", "left")
+            rows = rows.select("id", "doc_id", "tree", *[F.coalesce(F.col(f), F.lit(False) if f.startswith("hit") else F.lit(0.0)).alias(f) for f in flags])
         else:
-            own = [F.max(F.col("leaf") == i).alias(f"hit_{i}") for i in range(len(self.leaves))]
-            own += [F.sum(F.when(F.col("leaf") == i, F.col("score")).otherwise(0.0)).alias(f"score_{i}") for i in range(len(self.leaves))]
-            if plan.alone:
-                found = hits.groupBy("id").agg(*own)
-                rows = self.index.chunks.select("id", "doc_id", "tree").join(found, "id", "left")
-                rows = rows.select("id", "doc_id", "tree", *[F.coalesce(F.col(f), F.lit(False) if f.startswith("hit") else F.lit(0.0)).alias(f) for f in flags])
-            else:
-                rows = hits.groupBy("id").agg(F.first("doc_id").alias("doc_id"), F.first("tree").alias("tree"), *own)
+            rows = hits.groupBy("id").agg(F.first("doc_id").alias("doc_id"), F.first("tree").alias("tree"), *own)
         return rows.where(plan.match).select("id", "doc_id", "tree", plan.score.alias("score"))
 
 
-def phrase_hits(scope: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """``(id, doc_id, tree, field, tf, len)`` of exact phrases: starts that every word agrees on."""
-    starts = None
-    for i, w in enumerate(words):
-        part = scope.where(F.col("term") == w).select("id", "doc_id", "tree", "field", "len", F.lit(i).alias("i"), F.explode("positions").alias("pos"))
-        starts = part if starts is None else starts.unionByName(part)
-    agreed = starts.groupBy("id", "doc_id", "tree", "field", "len", (F.col("pos") - F.col("i")).alias("start")).agg(F.countDistinct("i").alias("n"))
-    return agreed.where(F.col("n") == len(words)).groupBy("id", "doc_id", "tree", "field", "len").agg(F.count("*").alias("tf"))
-
-
-def _idf(df: int, count: int) -> float:
-    import math
-
-    return math.log(1 + (count - df + 0.5) / (df + 0.5))
-
-
-def _pick(column: str, values: dict[str, float]) -> Column:
+def _pick(column: str, values: dict) -> Column:
     made = None
     for k, v in values.items():
         made = F.when(F.col(column) == k, F.lit(float(v))) if made is None else made.when(F.col(column) == k, F.lit(float(v)))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborseek.config import BINARY, Tree, glob_regex
 
 
+def plain_path(path: Column | str) -> Column:
+    """A path without the scheme of local files."""
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
 def discover(spark: SparkSession, trees: list[Tree]) -> DataFrame:
     """``(tree, path, abs_path, mtime, content)`` of the files of all trees: hidden and binary ones out, include and not exclude.
 
@@ -17,7 +22,7 @@ def discover(spark: SparkSession, trees: list[Tree]) -> DataFrame:
     for t in trees:
         root = t.path.rstrip("/")
         found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        full = F.regexp_replace("path", "^file:/*", "/")
+        full = plain_path("path")
         rows = found.select(F.lit(t.name).alias("tree"), F.substring(full, len(root) + 2, 1 << 20).alias("path"), full.alias("abs_path"), F.col("modificationTime").alias("mtime"), "content")
         keep = ~F.col("path").rlike(r"(^|/)\.") & ~F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*BINARY)
         for patterns, wanted in ((t.include, True), (t.exclude, False)):

@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime as D
 
 import pytest
@@ -7,7 +8,9 @@ from arborseek.api import Engine
 from arborseek.cli import main, parser, show
 from arborseek.config import Config, Rule, Tree
 from arborseek.operators.changes import Ledger
-from arborseek.query.compiler import CompileError
+from arborseek.operators.highlight import lines_of_ranges
+from arborseek.query.compiler import CompileError, Compiler
+from arborseek.query.parser import parse
 from arborseek.streaming.ingest import chunk_stream, ingest
 
 FILES = {
@@ -19,6 +22,7 @@ FILES = {
 }
 
 
+
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
     base = tmp_path_factory.mktemp("trees")
@@ -64,6 +68,33 @@ def test_roll_up_and_explain(engine):
     assert json.loads(engine.to_json("lazy", engine.search("lazy")))["queries"][0]["total_matches"] == 1
 
 
+def test_ranges_of_rolled_up_results(engine):
+    (r,) = engine.search("ownership", cutoff_ratio=0.0).collect()
+    text = FILES["local/rust.md"]
+    assert r["body"] == text[text.index("Rust is") :] and r["matches"] == 2
+    raw = r["body"].encode()
+    assert [raw[x["offset"] : x["offset"] + x["length"]] for x in r["ranges"]] == [b"Ownership", b"Ownership"]
+    assert [n for n, _ in lines_of_ranges(r["body"], [(x["offset"], x["length"]) for x in r["ranges"]])] == [5, 9]
+
+
+def test_plans_read_what_they_need(engine):
+    index = engine._load()
+    plan = Compiler(index, fuzzy=1).run(parse('rust async "systems programming" -lazy body:futures'))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in text.splitlines() if "FileScan" in x]
+    assert len(scans) == 1 and "EqualTo(term," in scans[0].replace(" ", "")
+    shown = engine.search("rust", details=False, aggregate=False)
+    assert "Exchange hashpartitioning" not in shown._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distance_two_and_matched_terms(engine):
+    assert ids(engine.search("wonersihp", fuzzy=2, aggregate=False)) and not ids(engine.search("wonersihp", fuzzy=1, aggregate=False))
+    with pytest.raises(CompileError):
+        engine.search("rust", fuzzy=3)
+    rows = engine.details("ownership", aggregate=False).collect()
+    assert {(r["word"], r["field"], r["tf"], r["field_score"], r["base_score"]) for r in rows} == {("ownership", "body", 1, 1.0, 1.0)}
+
+
 def test_like_this_and_context(engine):
     like = ids(engine.like_this("local:rust.md#memory", aggregate=False, cutoff_ratio=0.0))
     assert like[0] == "local:rust.md#threads" and "local:rust.md#memory" not in like
@@ -98,6 +129,64 @@ def test_update(engine):
     assert engine.status() == "current" and engine.index()["added"] == 0
 
 
+def same(one, other):
+    assert one.count == other.count
+    for name in ("terms", "stats"):
+        assert {tuple(r) for r in getattr(one, name).collect()} == {tuple(r) for r in getattr(other, name).collect()}
+    for name in ("chunks", "postings"):
+        cols = ("id", "body") if name == "chunks" else ("field", "term", "id", "tf", "len")
+        assert sorted(map(str, getattr(one, name).select(*cols).collect())) == sorted(map(str, getattr(other, name).select(*cols).collect()))
+
+
+def test_updates_write_what_changed_and_equal_a_rebuild(spark, tmp_path):
+    base = tmp_path / "docs"
+    base.mkdir()
+    for i in range(120):
+        (base / f"d{i}.md").write_text(f"# Title {i}\n\n" + f"common words and w{i} " * 40 + "\n\n## Part\n\nmore\n")
+    config = Config(trees=[Tree("t", str(base))])
+    engine = Engine(spark, str(tmp_path / "index"), config)
+    assert engine.index()["added"] == 120
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "index").rglob("*.parquet"))
+    first = size()
+
+    def put(name, data, k):
+        (base / name).write_bytes(data)
+        os.utime(base / name, (k * 1000, k * 1000))  # times count in whole seconds
+
+    steps = [
+        (lambda: put("d7.md", b"# Other\n\nzebra\n", 1), {"added": 0, "modified": 1, "removed": 0, "errors": 0}),
+        (lambda: ((base / "d8.md").unlink(), put("new [1].md", b"# New\n\nyak", 2)), {"added": 1, "modified": 0, "removed": 1, "errors": 0}),
+        (lambda: put("d9.md", b"\xff\xfe\x00\x01", 3), {"added": 0, "modified": 1, "removed": 0, "errors": 1}),
+    ]
+    for change, told in steps:
+        change()
+        stats = engine.index()
+        assert {k: stats[k] for k in told} == told
+    assert engine.index()["added"] == 1  # what couldn't be read is tried again
+    assert size() - first < first / 2  # no update wrote the whole anew
+    whole = Engine(spark, str(tmp_path / "whole"), config)
+    whole.index()
+    same(engine._load(), whole._load())
+    assert ids(engine.search("zebra", aggregate=False)) == ["t:d7.md#other"] and not ids(engine.search("w8", fuzzy=0))
+    engine.index(full=True)
+    engine.vacuum()
+    assert len(list((tmp_path / "index").glob("g-*"))) == 1 and engine.count() == whole.count()
+
+
+def test_a_failed_update_leaves_the_index_in_force(spark, tmp_path, monkeypatch):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/a.md").write_text("# A\n\nalpha")
+    engine = Engine(spark, str(tmp_path / "index"), Config(trees=[Tree("t", str(tmp_path / "docs"))]))
+    engine.index()
+    (tmp_path / "docs/b.md").write_text("# B\n\nbeta")
+    with monkeypatch.context() as m:
+        m.setattr(engine, "_put_current", lambda state: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            engine.index()
+    assert engine.count() == 2 and engine.status() == "stale"
+    assert engine.index()["added"] == 1 and engine.count() == 4
+
+
 def test_stream(spark, tmp_path):
     schema = "doc_id string, mtime timestamp, body string"
     data, t = str(tmp_path / "in"), [D(2025, 1, i) for i in (1, 2)]
