@@ -2,16 +2,22 @@
 
 Each line of a page is read as one of: code, table or log (left alone), list evidence (links only, hashtags, short
 items in a row, or words of a phrase the page keeps repeating), sentence, or in doubt: no sentence and no list. All
-lines of all documents are exploded into five-word shingles, and the distinct hosts that hold each are counted over
-the whole corpus; where most shingles of a page's lines in doubt stand on other hosts too, the page is stitched from
-replicated phrases and its doubtful words join the list evidence. A page is spam if that evidence makes up three
-quarters of its words. Replication alone says little here, since pages in set phrases share whole sentences with many
-hosts; so it speaks only where a line has no sentence.
+lines of all documents are taken apart into five-word shingles, and for those that stand in doubtful lines of a page
+with list evidence the distinct hosts are counted over the whole corpus; where most of a page's doubtful shingles stand
+on other hosts too, the page is stitched from replicated phrases and its doubtful words join the list evidence. A page
+is spam if that evidence makes up three quarters of its words. Replication alone says little here, since pages in set
+phrases share whole sentences with many hosts; so it speaks only where a line has no sentence.
+
+Which shingles are asked for is sent to the documents as a set of bits of a fixed size: a shingle whose bit isn't set
+is asked for by no page and stays where it is, and what passes is joined exactly. Where pages ask for more than the
+bits tell apart, more is shuffled, and the result is the same.
 """
 
 from __future__ import annotations
 
+import html
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -28,7 +34,9 @@ SHARE = 0.75
 SHINGLE = 5
 REPLICATED = 0.5  # share of a page's doubtful shingles that other hosts hold too
 LISTED = 0.25  # share of a page's words that must be list evidence for replicated phrases to join it
-FEWEST = 15  # words; a page with fewer is a stub
+FEWEST = 15  # words; a page with fewer is a stub, unless it has
+LINKS = 5  # lines of links and nothing else
+FILTER_BITS = 26  # the shingles asked for, as so many bits of their hashes: at most 8 MB, whatever the corpus
 REPEATED = (5, 0.08)  # a pair of neighbours is stuffed if it stands so often, and makes up this share of the words,
 COVERED = 0.5  # or if all pairs that stand so often outside of sentences, headings, tables and logs cover this share
 VARIED = 0.4  # share of different words from which a punctuated line is a sentence, whatever pairs it repeats
@@ -83,8 +91,8 @@ _known = _Hashes()
 _FACTORS = [np.uint64(0x9E3779B97F4A7C15 ** (k + 1) % 2**64) for k in range(SHINGLE)]
 
 
-def shingles(lines: list[list[str]]) -> np.ndarray:
-    """Signed 64-bit hashes of all five-word shingles of the lines, each once; none spans two lines."""
+def shingles(lines: list[list[str]], once: bool = True) -> np.ndarray:
+    """Signed 64-bit hashes of all five-word shingles of the lines, each once unless told otherwise; none spans two lines."""
     lines = [x for x in lines if len(x) >= SHINGLE]
     if not lines:
         return np.empty(0, np.int64)
@@ -100,7 +108,8 @@ def shingles(lines: list[list[str]]) -> np.ndarray:
     for k in range(1, SHINGLE):
         whole[ends - k] = False
     sums = sums[whole]
-    return np.unique(sums ^ (sums >> np.uint64(32))).view(np.int64)
+    mixed = sums ^ (sums >> np.uint64(32))
+    return (np.unique(mixed) if once else mixed).view(np.int64)
 
 
 def _hit(words: list[str], pairs: set[tuple[str, str]]) -> list[bool]:
@@ -112,12 +121,17 @@ def _hit(words: list[str], pairs: set[tuple[str, str]]) -> list[bool]:
     return hit
 
 
+def _lines(text: str) -> list[str]:
+    """The lines of a text, character references read."""
+    return _LINE.split(html.unescape(text) if "&" in text else text)
+
+
 class Page:
-    """Counts of a page's words: ``total``, ``sure`` list evidence, and ``doubt`` with its word sequences."""
+    """Counts of a page's words: ``total``, ``sure`` list evidence, and ``doubt`` with its word sequences; ``links`` counts lines of links."""
 
     def __init__(self, text: str):
         lines, fence = [], None
-        for line in _LINE.split(text):
+        for line in _lines(text):
             mark = _FENCE.match(line)
             if fence:
                 fence = None if mark and mark[1].startswith(fence) else fence
@@ -128,7 +142,7 @@ class Page:
                 kind = ""
             if line.strip():
                 lines.append((kind, line))
-        self.total = self.sure = self.doubt = 0
+        self.total = self.sure = self.doubt = self.links = 0
         self.phrases: list[list[str]] = []
         read = []
         pairs: Counter[tuple[str, str]] = Counter()
@@ -161,6 +175,7 @@ class Page:
                     continue
             if linked and inside and outside <= 2:
                 self.sure += count
+                self.links += 1
                 continue
             stripped = line.strip()
             if _HASHTAG.search(line) and len(_HASHTAG.findall(line)) * 5 >= len(stripped.split()) * 3:
@@ -169,7 +184,7 @@ class Page:
             if shaped or _TAG.sub("", stripped) == "":
                 continue
             if not _END.search(_URL.sub("", stripped)):
-                items = [x for x in _ITEM.split(_URL.sub(" ", stripped)) if x.strip()]
+                items = [x for x in _ITEM.split(_TAG.sub(" ", _URL.sub(" ", stripped))) if x.strip()]
                 if len(items) >= 3 and len(words) <= 2.6 * len(items) + 2 * (len(items) > 3):
                     self.sure += count
                 elif len(words) >= SHINGLE:
@@ -183,65 +198,77 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, host, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             page = Page(text)
             if page.sure or page.doubt:
-                out.append((doc, host, page.total, page.sure, page.doubt, shingles(page.phrases)))
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "host", "total", "sure", "doubt", "shingles"])
+                stub = page.total < FEWEST and page.links < LINKS
+                out.append((doc, host, page.total, page.sure, page.doubt, stub, shingles(page.phrases)))
+        cols = list(zip(*out, strict=True)) or [()] * 7
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "host", "total", "sure", "doubt", "stub", "shingles"])
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.where("length(text) > 0").select("doc_id", F.xxhash64(F.coalesce("source", F.lit(""))).alias("host"), "text")
 
 
 def evidence(documents: DataFrame) -> DataFrame:
-    """``(doc_id, host, total, sure, doubt, shingles)`` of every page with any evidence, as a written table.
+    """``(doc_id, host, total, sure, doubt, stub, shingles)`` of every page with any evidence, as a written table.
 
-    ``documents`` has ``doc_id, text, source``; the source is the host, a null one the host ''. Null and empty texts
-    have none. Other columns are ignored.
+    ``documents`` has ``doc_id, text, source``; the source is the host, a null one the host ''; ``host`` is its hash.
+    Null and empty texts have none. Other columns are ignored.
     """
-    texts = documents.where("length(text) > 0").select("doc_id", F.coalesce("source", F.lit("")).alias("host"), "text")
-    return written(texts.mapInArrow(_read, "doc_id long, host string, total int, sure int, doubt int, shingles array<long>"), "page-evidence")
+    return written(_texts(documents).mapInArrow(_read, "doc_id long, host long, total int, sure int, doubt int, stub boolean, shingles array<long>"), "page-evidence")
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        held: dict[int, list[list[str]]] = {}
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            each = {h: shingles(x) for h, x in held.items()}
-            hosts = np.repeat(np.fromiter(each, np.int64, len(each)), [len(x) for x in each.values()])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([*each.values(), np.empty(0, np.int64)])), pa.array(hosts)], names=["shingle", "host"])
-
-        for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            lines = held.setdefault(host, [])
-            plain = not _linked(text)
-            for line in _LINE.split(text):
-                words = _words(line, not plain and _linked(line))
-                if len(words) >= SHINGLE:
-                    lines.append(words)
-            size += len(text)
-            if size > 12_000_000:
-                yield flush()
-                held, size = {}, 0
-        yield flush()
-
-
-def replicated_phrases(documents: DataFrame) -> DataFrame:
-    """``(shingle)`` of the shingles that stand on two hosts or more, over all lines of all non-empty documents.
-
-    Each shingle keeps its least and greatest host hash: exact for "two or more", and two values whatever the number of
-    pages. They are found before the shuffle too, so a phrase of a third of all pages is as cheap as any.
+def asked_for(wanted: DataFrame) -> bytes:
+    """The hashes of ``wanted(shingle)`` as bits, by their first FILTER_BITS; they are set where the shingles lie and then joined."""
+    place = F.shiftrightunsigned("shingle", 64 - FILTER_BITS) + 1
+    parts = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bits = bytearray(1 << (FILTER_BITS - 3))
+    for r in parts.toLocalIterator():
+        at = (r["bucket"] - 1) * len(r["bits"])
+        bits[at : at + len(r["bits"])] = r["bits"]
+    return bytes(bits)
+
+
+def _explode(sent):
+    """Rows ``(doc_id, host, text)`` to ``(shingle, host)`` of the shingles of all lines whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(zlib.decompress(sent.value), np.uint8)
+        for b in batches:
+            found, hosts = [], []
+            for host, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                plain = not _linked(text)
+                made = shingles([_words(line, not plain and _linked(line)) for line in _lines(text)], once=False)
+                place = made.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+                kept = np.unique(made[(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0])
+                if len(kept):
+                    found.append(kept)
+                    hosts.append(np.full(len(kept), host, np.int64))
+            empty = np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, empty])) for x in (found, hosts)], names=["shingle", "host"])
+
+    return run
+
+
+def phrase_hosts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(shingle, hosts)``: on how many distinct hosts each shingle of ``wanted(shingle)`` stands, over all lines of all non-empty documents.
+
+    A shingle counts once for each host before the shuffle too, so a phrase of a third of all pages is as cheap as any.
     """
-    texts = documents.where("length(text) > 0").select(F.xxhash64(F.coalesce("source", F.lit(""))).alias("host"), "text")
-    hosts = texts.mapInArrow(_explode, "shingle long, host long").groupBy("shingle").agg(F.min("host").alias("first_host"), F.max("host").alias("last_host"))
-    return hosts.where("first_host <> last_host").select("shingle")
+    sent = documents.sparkSession.sparkContext.broadcast(zlib.compress(asked_for(wanted), 1))
+    found = _texts(documents).mapInArrow(_explode(sent), "shingle long, host long")
+    return found.distinct().groupBy("shingle").agg(F.count("*").alias("hosts"))
 
 
 def spam_pages(documents: DataFrame, share: float = SHARE) -> DataFrame:
     """``(doc_id, total, evidence)`` of the pages whose evidence makes up at least ``share`` of their words."""
-    pages = evidence(documents).where((F.col("total") >= FEWEST) & (F.col("sure") >= LISTED * F.col("total")) & (F.col("sure") + F.col("doubt") >= share * F.col("total")))
+    pages = evidence(documents).where(~F.col("stub") & (F.col("sure") >= LISTED * F.col("total")) & (F.col("sure") + F.col("doubt") >= share * F.col("total")))
     # repeated rows are pages of their own: each is known by its values and how often it stands
     kept = pages.groupBy("doc_id", "host", "total", "sure", "doubt", "shingles").agg(F.count("*").alias("copies"))
-    elsewhere = replicated_phrases(documents).withColumn("elsewhere", F.lit(1))
+    hosts = phrase_hosts(documents, pages.select(F.explode("shingles").alias("shingle")))
     page = ("doc_id", "host", "total", "sure", "doubt", "copies", "text")
-    judged = kept.withColumn("text", F.xxhash64("shingles")).select(*page, F.explode_outer("shingles").alias("shingle")).join(elsewhere, "shingle", "left")
-    shares = judged.groupBy(*page).agg(F.avg(F.coalesce("elsewhere", F.lit(0))).alias("replicated"))
+    judged = kept.withColumn("text", F.xxhash64("shingles")).select(*page, F.explode_outer("shingles").alias("shingle")).join(hosts, "shingle", "left")
+    # the page's own host is one of them
+    shares = judged.groupBy(*page).agg(F.avg(F.when(F.col("hosts") > 1, 1).otherwise(0)).alias("replicated"))
     found = shares.withColumn("evidence", F.col("sure") + F.when(F.col("replicated") >= REPLICATED, F.col("doubt")).otherwise(0)).where(F.col("evidence") >= share * F.col("total"))
     return found.select("doc_id", "total", "evidence", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")

@@ -13,6 +13,7 @@ SPAM = {
     "links": "\n".join(f"- [{n} page](https://{n}.example/{n}?id=3)" for n in NAMES),
     "wiki": "\n".join(f"{i}. [[{n} {n}s]] / [https://{n}.example/x {n}]" for i, n in enumerate(NAMES)),
     "html": "<ul>\n" + "\n".join(f"<li><a href='https://{n}.example' title='x'>read more</a></li>" for n in NAMES) + "\n</ul>",
+    "few links": "<ul>\n" + "\n".join(f"<li><a href='https://{n}.example'>{n} {n}s</a></li>" for n in NAMES[:6]) + "\n</ul>",
     "urls": "\n\n".join(f"http://{n}.example/{n}.html" for n in NAMES * 2),
     "tags": " ".join(f"#{n}{m}" for n in NAMES for m in NAMES[:2]),
     "attributes": "\n".join(f"{k}: {', '.join(NAMES)}" for k in ("Brand", "Colour", "SKU")),
@@ -31,6 +32,8 @@ PLAIN = {
     "code": "```python\n" + "\n".join(f'{n} = load("{n}", limit=3)' for n in NAMES * 3) + "\n```",
     "awesome": "\n".join(f"- [{n}](https://{n}.example) - A {n} that every house in the valley should have." for n in NAMES),
     "chinese": "设置决定是否保留章节。如果查询超过条，就应当比较模板。\n\n本节说明如何合并日志以及日志为什么重要。",
+    "breaks": "<p>" + "<br/>".join("Why does the kettle of the mason stand on the wall and who will carry it home again to the valley".split()) + "</p>\n",
+    "references": "&nbsp;".join(("In the village every mason who owns a kettle must also mend the lantern that belongs to the oldest tailor " * 2).split()),
     "stub": "# Kettle\n\nkettle, pot",
     "mostly text": SENTENCES * 2 + ", ".join(NAMES * 2),
     "verse": "Why does the kettle of the mason stand on the wall\nand who of the guests will carry it home again\n" * 3,
@@ -39,7 +42,7 @@ PLAIN = {
 
 def share(text):
     page = ops.Page(text)
-    return page.sure / page.total if page.total >= ops.FEWEST else 0
+    return page.sure / page.total if page.total >= ops.FEWEST or page.links >= ops.LINKS else 0
 
 
 @pytest.mark.parametrize("kind", SPAM)
@@ -93,3 +96,25 @@ def test_set_forms_are_not_rotated_keywords():
     rows = "\n".join(f"| kettle {n} |" for n in NAMES * 5)
     steps = "\n".join("The kettle of the mason stands on the wall of the garden." for _ in range(12))
     assert share(rows) < ops.SHARE and share(steps) < ops.SHARE
+
+
+def test_stitched_pages_are_found_by_phrases_alone(spark):
+    """Pages of other hosts' phrases under a list are spam; the same without those hosts, or with the phrases as sentences, are not."""
+    phrases = [f"the {a} and the {b} of our village for sale all day" for a, b in zip(NAMES, [*NAMES[3:], *NAMES[:3]], strict=True)]
+    stitched = "\n".join([", ".join(NAMES * 2), *phrases[:5]])
+    sentences = "\n".join([", ".join(NAMES * 2), *(f"{p}." for p in phrases[:5])])
+    schema = "doc_id long, text string, source string"
+    others = [(10 + i, f"{SENTENCES}{p}.", f"host{i % 3}") for i, p in enumerate(phrases)]
+    rows = [(1, stitched, "own"), (2, sentences, "own"), (3, stitched.replace("village", "valley"), "own"), *others]
+    found = lambda rows: sorted(r["doc_id"] for r in ops.spam_pages(spark.createDataFrame(rows, schema)).collect())
+    assert found(rows) == [1] and found(rows[:3]) == []
+
+
+def test_hosts_are_counted_exactly(spark):
+    texts = {1: ("a", "one two three four five six"), 2: ("b", "zero one two three four five\none two three four five"), 3: ("b", "one two three four five"), 4: (None, "two three four five six"), 5: ("", "two three four five six"), 6: ("c", None)}
+    df = spark.createDataFrame([(d, t, h) for d, (h, t) in texts.items()], "doc_id long, text string, source string")
+    wanted = [int(x) for w in ("one two three four five", "two three four five six", "zero one two three four", "six five four three two") for x in ops.shingles([w.split()])]
+    got = {r["shingle"]: r["hosts"] for r in ops.phrase_hosts(df, spark.createDataFrame([(w,) for w in wanted], "shingle long")).collect()}
+    assert [got.get(w) for w in wanted] == [2, 2, 1, None]
+    bits = ops.asked_for(spark.createDataFrame([(w,) for w in (-1, 0, 1 << 62)], "shingle long"))
+    assert sum(x.bit_count() for x in bits) == 3 and bits[0] == 1 and bits[-1] == 128 and len(bits) == 1 << (ops.FILTER_BITS - 3)
