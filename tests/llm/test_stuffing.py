@@ -105,7 +105,7 @@ def test_stitched_pages_are_found_by_phrases_alone(spark):
     sentences = "\n".join([", ".join(NAMES * 2), *(f"{p}." for p in phrases[:5])])
     schema = "doc_id long, text string, source string"
     others = [(10 + i, f"{SENTENCES}{p}.", f"host{i % 3}") for i, p in enumerate(phrases)]
-    rows = [(1, stitched, "own"), (2, sentences, "own"), (3, stitched.replace("village", "valley"), "own"), *others]
+    rows = [(1, stitched, "own"), (2, sentences, "own"), (3, stitched.replace(" and the ", " or a ").replace("of our village", "in a valley").replace("sale all day", "rent by week"), "own"), *others]
     found = lambda rows: sorted(r["doc_id"] for r in ops.spam_pages(spark.createDataFrame(rows, schema)).collect())
     assert found(rows) == [1] and found(rows[:3]) == []
 
