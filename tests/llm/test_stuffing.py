@@ -101,7 +101,7 @@ def test_set_forms_are_not_rotated_keywords():
 def test_stitched_pages_are_found_by_phrases_alone(spark):
     """Pages of other hosts' phrases under a list are spam; the same without those hosts, or with the phrases as sentences, are not."""
     phrases = [f"the {a} and the {b} of our village for sale all day" for a, b in zip(NAMES, [*NAMES[3:], *NAMES[:3]], strict=True)]
-    stitched = "\n".join([", ".join(NAMES * 2), *phrases[:5]])
+    stitched = "\n".join([", ".join(NAMES * 2), *phrases[:4]])
     sentences = "\n".join([", ".join(NAMES * 2), *(f"{p}." for p in phrases[:5])])
     schema = "doc_id long, text string, source string"
     others = [(10 + i, f"{SENTENCES}{p}.", f"host{i % 3}") for i, p in enumerate(phrases)]
