@@ -1,10 +1,11 @@
 """Markup residue in texts: which kinds a text holds, and the clean text without it.
 
-A text is read once. Markdown code spans and blocks are set aside first, since what stands in them counts for no
-other kind. Then each family is looked for by its own forms, with the look-alikes of running text (prices,
-comparisons, type parameters, operators, globs, file names, identifiers, indices) ruled out by what stands around
-them. For clean text HTML goes through the streaming parser of the standard library; headings, lists, code and
-formulas stay, in plain form.
+Markdown code spans and blocks are set aside first, since what stands in them counts for no other kind. What is left
+goes through the streaming HTML parser of the standard library, whose events (tags, comments, declarations, character
+references) make up the family ``html``; the standard library has no parser for the other families, which are scanned
+for their own forms. Look-alikes of running text (prices, comparisons, type parameters, operators, globs, file names,
+identifiers, indices) are ruled out by what stands around an event or form. Clean text is made of the same parser's
+events; headings, lists, code and formulas stay, in plain form, and cells of tables are parted by tabs.
 
 Where a body is HTML, of any length, it is cut at line ends and block tags, and lines of content are told from lines of
 page furniture by their text-to-tag ratio: the ratios are smoothed by a Gaussian, and the lines above a threshold of
@@ -19,6 +20,7 @@ import re
 from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +54,7 @@ MAGIC_WORDS = "TOC NOTOC FORCETOC NOEDITSECTION NEWSECTIONLINK NONEWSECTIONLINK
 _NAME = "(?:" + "|".join(sorted(HTML_NAMES, key=len, reverse=True)) + ")"
 _ATTR = r"""(?:(?:\s+|(?<=["']))[a-zA-Z_:@][\w:.@-]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+))?)*"""
 _TAG = re.compile(rf"<(/?)({_NAME}){_ATTR}\s*/?>", re.I)
+_NAMES = frozenset(HTML_NAMES)
 _COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE\s[^<>]*>|<!\[CDATA\[", re.S | re.I)
 _LEGACY = re.compile(r"&(" + "|".join(sorted((x for x in html5 if not x.endswith(";")), key=len, reverse=True)) + r")(?![\w=;&])")
 _ENTITY = re.compile(r"&(#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
@@ -64,7 +67,7 @@ _BRACED = re.compile(r"(?<![\w:\\/])\\[a-zA-Z]+\*?(?:\[[^\[\]\n]*\])?\{")
 _BRACED_AFTER_WORD = re.compile(r"(?<=\w)\\(?:cite[a-z]*|ref|eqref|label|footnote|emph|text[a-z]{2})\*?(?:\[[^\[\]\n]*\])?\{")
 _BARE = re.compile(r"(?<![\w:\\/])\\(?:" + "|".join(LATEX_NAMES) + r")(?![a-zA-Z\\])")
 _DISPLAY = re.compile(r"\$\$(?=\s*\S)(?:(?!\n\s*\n)[^$])+\$\$|\\\[(?:(?!\n\s*\n).)+?\\\]|\\\((?:(?!\n\s*\n).)+?\\\)", re.S)
-_DOLLARS = re.compile(r"(?<![\w\\$])\$(?![\s$])((?:[^$\n\\]|\\.){0,200}?)(?<![\s\\])\$(?![\w$])")
+_DOLLARS = re.compile(r"(?<![\w\\$])\$(?![\s$])((?:[^$\n\\]|\\.)*?)(?<![\s\\])\$(?![\w$])")
 _MATH = re.compile(r"\\[a-zA-Z]|[\^_=+<>]|^[a-zA-Z]'?$|[a-zA-Z]\s*[-*/(]\s*[\w(]|^\d*[a-zA-Z]$")
 
 _WIKI_LINK = re.compile(r"(?<![\w\])\[])\[\[(?![\s\[\]])(?=[^\[\]\n]*[^\W\d_])[^\[\]\n]+(?<!\s)\]\](?!\])")
@@ -110,28 +113,82 @@ def set_code_aside(text: str) -> tuple[str, list[str]]:
     return text, code
 
 
-def _is_html(text: str) -> bool:
-    if "<" in text:
-        if _COMMENT.search(text):
-            return True
-        closes = None
-        for m in _TAG.finditer(text):
-            name = m[2].lower()
-            glued = text[m.start() - 1 : m.start()]
-            if m[1] or name in VOID_NAMES or m[0].endswith("/>"):
-                if not m[1] or name in VOID_NAMES:
-                    return True
-                # a closing tag is one if it was opened; alone it is residue all the same
-                return True
-            if not (glued.isalnum() or glued in "_:."):
-                return True
-            # directly behind a word it may be a type parameter, unless it is closed later
-            closes = closes or {x.lower() for x in re.findall(r"</([a-zA-Z0-9]+)\s*>", text)}
-            if name in closes or "=" in m[0]:
+class _Events(HTMLParser):
+    """Whether the events of a text make it HTML, look-alikes left out. A text is fed in growing pieces until that is settled.
+
+    A closing, void or self-closing tag of a known element is one wherever it stands, and so are comments and
+    declarations. An opening tag directly behind a word may be a type parameter: it counts if it has attributes with
+    values or if the element is closed later. A character reference must be one of the standard's, and one without its
+    semicolon one of those that may go without.
+    """
+
+    PIECE = 4096  # characters of the first piece
+
+    def __init__(self, text: str, fed: str | None = None):
+        """``fed`` is the text with blanks for signs that open nothing, character by character."""
+        super().__init__(convert_charrefs=False)
+        self.text, self.fed, self.found = text, text if fed is None else fed, False
+        self.starts = [0]
+
+    def settle(self) -> bool:
+        at, size = 0, self.PIECE
+        while at < len(self.text):
+            self.feed(self.fed[at : at + size])
+            if self.found:
                 return True
-    if "&" in text:
-        return any(m[1][0] == "#" or m[1] + ";" in html5 for m in _ENTITY.finditer(text)) or bool(_LEGACY.search(text))
-    return False
+            # the parser rereads what it couldn't finish, so pieces grow with what was read
+            at, size = at + size, 2 * size
+        self.close()
+        return self.found
+
+    def _place(self) -> int:
+        """Where the event starts, in characters of the whole text."""
+        line, column = self.getpos()
+        while len(self.starts) < line:
+            self.starts.append(self.text.index("\n", self.starts[-1]) + 1)
+        return self.starts[line - 1] + column
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in _NAMES:
+            return
+        shown = self.get_starttag_text() or ""
+        if not _TAG.fullmatch(shown):
+            return
+        before = self.text[(at := self._place()) - 1 : at]
+        self.found |= tag in VOID_NAMES or shown.endswith("/>") or "=" in shown or not (before.isalnum() or before in "_:.")
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag: str) -> None:
+        # it counts if it was opened; alone it is residue all the same
+        self.found |= tag in _NAMES and _TAG.match(self.text, self._place()) is not None
+
+    def handle_comment(self, data: str) -> None:
+        # an unclosed one, or one of another kind (``<?``, ``<!x``), is none
+        self.found |= _COMMENT.match(self.text, self._place()) is not None
+
+    handle_decl = unknown_decl = handle_pi = handle_comment
+
+    def handle_charref(self, name: str) -> None:
+        self.found |= _ENTITY.match(self.text, self._place()) is not None
+
+    def handle_entityref(self, name: str) -> None:
+        at = self._place()
+        m = _ENTITY.match(self.text, at)
+        self.found |= bool(m and m[1] + ";" in html5) or _LEGACY.match(self.text, at) is not None
+
+
+# a sign that opens a tag which is never closed; the parser would look for its end anew at each of them
+_LOOSE = re.compile(r"""<(?!!--)(?![/!?]?[a-zA-Z\[][^<>"']*+(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>)""")
+
+
+def _is_html(text: str) -> bool:
+    if "<" not in text and "&" not in text:
+        return False
+    last = text.rfind("-->")
+    comments = text[: last + 1] + text[last + 1 :].replace("<!--", " !--") if "<!--" in text else text
+    return _Events(text, _LOOSE.sub(" ", comments)).settle()
 
 
 def _is_latex(text: str) -> bool:
@@ -193,6 +250,7 @@ class _Reader(HTMLParser):
         self.out: list[str] = []
         self.lists: list[int] = []
         self.skip = 0
+        self.cells = False  # whether the row has a cell yet
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("script", "style"):
@@ -212,9 +270,11 @@ class _Reader(HTMLParser):
             elif tag == "pre":
                 self.out.append("\n```\n")
             elif tag in ("td", "th"):
-                self.out.append(" ")
+                self.out.append("\t" if self.cells else "")
+                self.cells = True
             elif tag == "br" or tag in self._BREAKS:
                 self.out.append("\n")
+                self.cells = self.cells and tag != "tr"
         else:  # no element: text that only looks like one
             self.out.append(self.get_starttag_text() or "")
 
@@ -267,7 +327,7 @@ def _regions(lines: list[str], sigma: float = 1.0) -> list[bool]:
 
 _BLOCKS = "(?:" + "|".join(sorted([*_Reader._BREAKS, "li", "h[1-6]", "pre", "nav", "aside", "body", "head", "html", "title"], key=len, reverse=True)) + ")"
 _CUT = re.compile(rf"\n|</{_BLOCKS}\s*>(?:[ \t]*\n)?|(?=<{_BLOCKS}[\s>/])", re.I)
-_STAYS = re.compile(r"<h[1-6][\s>]|<(?:code|kbd|samp|math|pre)[\s>]|\ue000|^[ \t]*#{1,6}[ \t]|^[ \t]*={2,6}[^=]", re.I)
+_STAYS = re.compile(r"<h[1-6][\s>]|<(?:code|kbd|samp|math|pre)[\s>]|^[ \t]*#{1,6}[ \t]|^[ \t]*={2,6}[^=]", re.I)
 _DEPTHS = {"ul": "list", "ol": "list", "dl": "list", "table": "list", "pre": "code", "nav": "nav", "footer": "nav"}
 _BOXES = frozenset("address article aside blockquote body center div fieldset figure footer form header html main nav section".split())
 _SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s*$")
@@ -280,11 +340,12 @@ def pieces(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _without_furniture(text: str) -> str:
+def _without_furniture(text: str, mark: str = "\ue000") -> str:
     """An HTML text without the words of short lines outside of the content regions; their tags stay, since lists need them.
 
     HTML is a text of whose pieces at least half hold a tag. Left in any case are headings, code, formulas, sentences,
     text that no element encloses, and list items and table rows that don't stand in a ``nav`` or ``footer``.
+    ``mark`` begins the places of code and formulas that were set aside.
     """
     each = pieces(text)
     full = [x for x in each if x.strip()]
@@ -301,7 +362,7 @@ def _without_furniture(text: str) -> str:
                 inside[kind] = max(inside[kind], depth[kind])
         shown = _TAG.sub("", x)
         loose = shown == x and not inside["box"]
-        stays = loose or _STAYS.search(x) or _SENTENCE.search(shown) or inside["code"] or ((inside["list"] or _LISTED.search(x) or _ITEM.match(x)) and not inside["nav"])
+        stays = loose or _STAYS.search(x) or mark in x or _SENTENCE.search(shown) or inside["code"] or ((inside["list"] or _LISTED.search(x) or _ITEM.match(x)) and not inside["nav"])
         if good or stays or len(shown.split()) > 4:
             out.append(x)
         else:
@@ -309,6 +370,15 @@ def _without_furniture(text: str) -> str:
     return "".join(out)
 
 
+def _marks(text: str) -> tuple[str, str]:
+    """Two characters of private use that the text doesn't hold."""
+    if "\ue000" not in text and "\ue001" not in text:
+        return "\ue000", "\ue001"
+    own = set(text)
+    free = (c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))) if c not in own)
+    return next(free), next(free)
+
+
 def clean(text: str | None) -> str | None:
     """The text without markup, with headings (``#``), lists (``-``, ``1.``), code blocks and formulas in plain form.
 
@@ -319,10 +389,15 @@ def clean(text: str | None) -> str | None:
         return text
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     kept: list[str] = []
+    first, last = _marks(text)
 
     def keep(piece: str) -> str:
         kept.append(piece)
-        return f"\ue000{len(kept) - 1}\ue001"
+        return f"{first}{len(kept) - 1}{last}"
+
+    def put_back(text: str) -> str:
+        # what was set aside later may hold places of what was set aside before
+        return re.sub(f"{first}(\\d+){last}", lambda m: put_back(kept[int(m[1])]), text)
 
     text = _FENCED.sub(lambda m: keep(m[0]), text)
     text = _SPAN.sub(lambda m: keep(m[2].strip() or m[2]), text)
@@ -338,7 +413,7 @@ def clean(text: str | None) -> str | None:
         text = re.sub(r"(?<![\w:\\/])\\[a-zA-Z]+\*?(?:\[[^\[\]\n]*\])?\{([^{}]*)\}", r"\1", text)
         text = _BARE.sub("", text)
     if "html" in found:
-        text = _without_furniture(text)
+        text = _without_furniture(text, first)
         reader = _Reader()
         # what only looks like a tag must not reach the parser
         safe = re.sub(r"<(?!/?" + _NAME + r"(?=[\s>/])|!--|!DOCTYPE)", "&lt;", text, flags=re.I)
@@ -356,7 +431,7 @@ def clean(text: str | None) -> str | None:
         text = _EQUALS.sub(lambda m: "#" * len(m[1]) + " " + m[2] if len(m[1]) > 1 else m[0], text)
         if "{|" in text or "|}" in text:
             text = re.sub(r"(?m)^[ \t]*(?:\{\|[^\n]*|\|\}|\|-[^\n]*|\|\+)[ \t]*$", "", text)
-            text = re.sub(r"(?m)^[ \t]*[|!][ \t]*", "", text).replace("||", " ").replace("!!", " ")
+            text = re.sub(r"(?m)^[ \t]*[|!][ \t]*", "", text).replace("||", "\t").replace("!!", "\t")
     if "markdown" in found:
         text = _IMAGE.sub(lambda m: m[0][2 : m[0].index("]")], text)
         text = _LINK.sub(r"\1", text)
@@ -371,11 +446,11 @@ def clean(text: str | None) -> str | None:
         text = re.sub(r"(?m)^ {0,3}>[ \t]?", "", text)
         text = _RULE.sub("", text)
         text = _TABLE.sub("", text)
-        text = re.sub(r"(?m)^[ \t]*\|(.*)\|[ \t]*$", lambda m: " ".join(x.strip() for x in m[1].split("|")), text)
+        text = re.sub(r"(?m)^[ \t]*\|(.*)\|[ \t]*$", lambda m: "\t".join(x.strip() for x in m[1].split("|")), text)
         text = re.sub(r"(?m)^([ \t]*)[*+]([ \t]+)", r"\1-\2", text)
         text = re.sub(r"(?m)^([^\n#>|-][^\n]*)\n {0,3}(=+|-{2,})[ \t]*$", lambda m: ("# " if m[2][0] == "=" else "## ") + m[1].strip(), text)
     text = re.sub(r"\n{3,}", "\n\n", text)
-    return re.sub("\ue000(\\d+)\ue001", lambda m: kept[int(m[1])], text).strip("\n")
+    return put_back(text).strip("\n")
 
 
 def _residue(with_text: bool):
@@ -410,18 +485,17 @@ def _residue(with_text: bool):
 def read(chunks: DataFrame, with_text: bool = False) -> DataFrame:
     """Of every current row ``(id, body_families, hierarchy_families)``, and ``clean_body, clean_hierarchy`` where asked for.
 
-    Texts are read before the current rows are found, so that only the families cross the network, and only rows
-    with a character that markup needs go through Python. Without clean texts, rows that have none are not told.
+    Texts are read before the current rows are found, so that only what was read of them crosses the network, and
+    only rows with a character that markup needs go through Python.
     """
     odd = F.col("body").rlike(SUSPECT) | F.exists(F.coalesce("hierarchy", F.array().cast("array<string>")), lambda t: F.coalesce(t.rlike(SUSPECT), F.lit(False)))
     rows = chunks.where("id is not null").select("id", "mtime", F.xxhash64("body", "tags", "hierarchy").alias("tie"), "body", "hierarchy", F.coalesce(odd, F.lit(False)).alias("odd"))
-    if with_text:
-        schema = "id string, mtime timestamp_ntz, tie long, body_families array<string>, hierarchy_families array<string>, clean_body string, clean_hierarchy array<string>"
-        done = rows.select("id", F.col("mtime").cast("timestamp_ntz").alias("mtime"), "tie", "body", "hierarchy").mapInArrow(_residue(True), schema)
-        return current_rows(done, "body_families", "hierarchy_families", "clean_body", "clean_hierarchy", tie=("tie",))
-    schema = "id string, mtime timestamp_ntz, tie long, body_families array<string>, hierarchy_families array<string>"
     cast = rows.withColumn("mtime", F.col("mtime").cast("timestamp_ntz"))
-    done = cast.where("odd").select("id", "mtime", "tie", "body", "hierarchy").mapInArrow(_residue(False), schema)
+    kinds = ("body_families", "hierarchy_families")
+    texts = ("clean_body", "clean_hierarchy") if with_text else ()
+    schema = "id string, mtime timestamp_ntz, tie long, body_families array<string>, hierarchy_families array<string>" + (", clean_body string, clean_hierarchy array<string>" if with_text else "")
+    done = cast.where("odd").select("id", "mtime", "tie", "body", "hierarchy").mapInArrow(_residue(with_text), schema)
     none = F.array().cast("array<string>")
-    rest = cast.where("not odd").select("id", "mtime", "tie", none.alias("body_families"), none.alias("hierarchy_families"))
-    return current_rows(done.unionByName(rest), "body_families", "hierarchy_families", tie=("tie",))
+    same = [F.col("body").alias("clean_body"), F.col("hierarchy").alias("clean_hierarchy")] if with_text else []
+    rest = cast.where("not odd").select("id", "mtime", "tie", *[none.alias(k) for k in kinds], *same)
+    return current_rows(done.unionByName(rest), *kinds, *texts, tie=("tie",))

@@ -1,6 +1,10 @@
 from datetime import datetime as D
 
+import time
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from arborseek.llm import markup as m
 
@@ -38,7 +42,9 @@ def test_plain(text):
         ("== Head ==\n'''b''' [[A|c]] [http://x d] {{T}}", "## Head\nb c d "),
         ("# H\n\n* a\n* **b** `c<d>`\n\n```\n<b>\n```", "# H\n\n- a\n- b c<d>\n\n```\n<b>\n```"),
         ("Vec<T> is <b>bold</b>, x < y", "Vec<T> is bold, x < y"),
-        ("| a | b |\n| --- | --- |\n| 1 | 2 |", "a b\n\n1 2"),
+        ("| a | b c |\n| --- | --- |\n| 1 | 2 |", "a\tb c\n\n1\t2"),
+        ("<table><tr><td>a</td><td>b c</td></tr><tr><th>1</th><th>2</th></tr></table>", "a\tb c\n\n1\t2"),
+        ("{| class=x\n|-\n| a || b c\n|}", "a \t b c"),
         ("[t](u)[^1] ~~no~~ yes\n\n[^1]: note", "t no yes\n\nnote"),
     ],
 )
@@ -91,7 +97,7 @@ def test_furniture_of_pages_of_any_length(glue, n):
 def test_lists_headings_code_and_formulas_stay(glue):
     kept = ["<h2>Short head</h2>", "<ul>", *["<li>two words</li>"] * 10, "</ul>", "<ol>", "<li>one</li>", "<li><p>two</p></li>", "</ol>", "<pre>x = 1</pre>", "<div>$x^2$</div>", "<table>", "<tr><td>a</td><td>b</td></tr>", "</table>"]
     got = m.clean(glue.join([*kept, *[LONG] * 10]))
-    assert got.count("- two words") == 10 and "## Short head" in got and "x = 1" in got and "$x^2$" in got and "a b" in got
+    assert got.count("- two words") == 10 and "## Short head" in got and "x = 1" in got and "$x^2$" in got and "a\tb" in got
     assert "1. one" in got and "2. " in got and got.split().count("real") == 10
     assert m.clean("".join(m.pieces(glue.join(kept)))) == m.clean(glue.join(kept))
 
@@ -110,3 +116,43 @@ def test_forms_only_a_parser_sees(text, cleaned):
 @pytest.mark.parametrize("text", ["http://a.test/?x=1&copy=2&lt=3", "R&D, AT&T", "a &notit b", 'say "x"y > z'])
 def test_no_forms_of_a_parser(text):
     assert m.families(text) == []
+
+
+PARTS = st.one_of(st.text("ab \n\ue000\ue001\ue0020123", max_size=12), st.sampled_from(["`x\ue0000\ue001`", "$x^2$", "<b>b</b>", "**s**", "```\n\ue0007\ue001\n```", "$$a\n= `b`$$", "\\begin{verbatim}`c`\\end{verbatim}", "&amp;", "\\item `d`"]))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PARTS, max_size=8).map(" ".join))
+def test_private_use_characters_are_text(text):
+    got = m.clean(text)
+    held = lambda x: [c for c in x if "\ue000" <= c <= "\uf8ff"]
+    assert held(got) == held(text)
+
+
+def test_all_private_use_characters_of_the_plane():
+    every = "".join(map(chr, range(0xE000, 0xF900)))
+    assert m.clean(f"{every} `x` **b**") == f"{every} x b"
+
+
+@pytest.mark.parametrize("n", [1, 199, 200, 201, 500, 20_000])
+def test_formulas_of_any_length(n):
+    formula = "$x^2 + " + "y" * n + "$"
+    assert m.families(f"See {formula} here.") == ["latex"]
+    assert m.clean(f"See {formula} and <b>b</b>.") == f"See {formula} and b."
+
+
+def test_code_within_a_formula_comes_back():
+    assert m.clean("$$a `b` c$$ **d**") == "$$a b c$$ d"
+
+
+def test_the_time_of_long_texts_grows_with_their_length():
+    began = time.time()
+    for text in ("<!-- " + "x < y & z " * 100_000, "a <" * 200_000, "$x " * 200_000, "&" * 400_000, "Vec<i> " * 100_000):
+        m.families(text)
+    assert time.time() - began < 20
+
+
+def test_events_look_at_what_stands_around_a_tag():
+    assert m.families("a List<i> of " + "x " * 5000 + "ints</i>") == ["html"]
+    assert m.families("a\nList<i> of\nints\nand Map<a, b>") == []
+    assert m.families("a\nb\nList<i class=x> of") == ["html"]
