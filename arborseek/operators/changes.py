@@ -89,7 +89,8 @@ def unprocessed(source: DataFrame, ledger: DataFrame, since: datetime | None = N
     fresh = source if since is None else source.where((F.col(stamp) >= F.lit(since)) | F.col(stamp).isNull())
     seen = ledger.select(F.col("key").alias("__key"), F.col("version").alias("__version"))
     version, known = F.col("version"), F.col("__version")
-    agree = (version.isNull() & known.isNull()) | (version == known) if single else version.eqNullSafe(known)
+    # an equality would be taken for a key of the join, which would shuffle both sides by it anew
+    agree = (version.isNull() & known.isNull()) | ((version <= known) & (version >= known)) if single else version.eqNullSafe(known)
     return fresh.join(seen, (F.col("key") == F.col("__key")) & agree, "left_anti")
 
 
