@@ -1,12 +1,13 @@
 """Encoding a corpus with a public byte-level BPE vocabulary, long texts in overlapping chunks.
 
 Texts within ``chunk`` characters are one chunk and are encoded where they lie. Longer ones are cut into chunks
-that overlap. All chunks are pre-tokenised in parallel; where the pre-token boundaries of two neighbours meet in
-their overlap, the later chunk has fallen into step, because the pattern looks only ahead, and everything it finds
-from there on is what one pass over the whole text would find. The text is stitched at those places, the pieces
-between them are encoded in parallel, and their ids are put in order. Where neighbours never meet (one run of
-blanks or letters longer than the overlap), the rest of the text is one piece. Decoding concatenates the raw bytes
-of the ids and then reads them as UTF-8.
+that overlap, in one pass over each text, and the chunks are written; nothing that follows touches a whole text. All
+chunks are pre-tokenised in parallel; where the pre-token boundaries of two neighbours meet in their overlap, the later
+chunk has fallen into step, because the pattern looks only ahead, and everything it finds from there on is what one
+pass over the whole text would find. The text is stitched at those places. The piece between two of them lies within
+one chunk and is cut out of it; the pieces are encoded in parallel, and their ids are put in order. Where neighbours
+never meet (one run of blanks or letters longer than the overlap), the rest of the text is one piece, put together from
+its chunks. Decoding concatenates the raw bytes of the ids and then reads them as UTF-8.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborseek.session import written
+
 TOKENIZERS = "/opt/tokenizers"
 CHUNK, OVERLAP = 8192, 256
 
@@ -84,15 +87,43 @@ def stitches(heads: list[list[int]], tails: list[list[int]]) -> list[int]:
     return cuts
 
 
-def _encode(raw: bytes, key: pa.DataType, name: str):
-    """Rows ``(key, place, text)`` to ``(key, place, ids)``; null and empty texts have no ids."""
+def spans(cuts: list[int], chunks: int, chunk: int) -> list[tuple[int, int, int]]:
+    """Of each chunk ``(piece, start, end)``: the part of the text that it gives, and to which piece.
+
+    Up to the last cut each chunk is a piece. Those behind give what lies before the next one to the last piece.
+    """
+    starts = [0, *cuts]
+    out = []
+    for i in range(chunks):
+        start = starts[i] if i < len(starts) else i * chunk
+        end = cuts[i] if i < len(cuts) else (i + 1) * chunk if i + 1 < chunks else (i + 1) * chunk + chunk
+        out.append((min(i, len(cuts)), start, max(start, end)))
+    return out
+
+
+def _encode(raw: bytes, names: list[str], types: list[pa.DataType]):
+    """Rows ``(*names, text)`` to ``(*names, ids)``; null and empty texts have no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(raw)
         for b in batches:
-            texts = b.column(2).to_pylist()
-            ids = pa.array([encode(t) if t else [] for t in texts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(key), b.column(1).cast(pa.int32()), ids], names=[name, "place", "ids"])
+            ids = pa.array([encode(t) if t else [] for t in b.column(len(names)).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(b.column(i).cast(t) for i, t in enumerate(types)), ids], names=[*names, "ids"])
+
+    return run
+
+
+def _cut(chunk: int, overlap: int):
+    """Rows ``(row, doc_id, text)`` to ``(row, doc_id, place, last, text)``, a batch of chunks for each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, doc, text in zip(*(b.column(i) for i in range(3)), strict=True):
+                whole = text.as_py()
+                starts = range(0, len(whole), chunk)
+                n = len(starts)
+                cols = [pa.array([row.as_py()] * n, pa.int64()), pa.array([doc.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([i + 1 == n for i in range(n)], pa.bool_()), pa.array([whole[i : i + chunk + overlap] for i in starts], pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "place", "last", "text"])
 
     return run
 
@@ -100,7 +131,7 @@ def _encode(raw: bytes, key: pa.DataType, name: str):
 def _pretokenise(chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, places, lasts, texts = (b.column(i).to_pylist() for i in range(4))
+            rows, places, lasts, texts = b.column(0), *(b.column(i).to_pylist() for i in range(1, 4))
             heads, tails = [], []
             for place, last, text in zip(places, lasts, texts, strict=True):
                 start = place * chunk
@@ -108,15 +139,25 @@ def _pretokenise(chunk: int, overlap: int):
                 heads.append([start + e for e in found if e <= overlap])
                 tails.append([start + e for e in found if e >= chunk])
             both = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(places, pa.int32()), pa.array(heads, both), pa.array(tails, both)], names=["key", "place", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([rows.cast(pa.int64()), pa.array(places, pa.int32()), pa.array(heads, both), pa.array(tails, both)], names=["row", "place", "head", "tail"])
 
     return run
 
 
-def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cuts = [stitches([c["head"] for c in row], [c["tail"] for c in row]) for row in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cuts, pa.list_(pa.int64()))], names=["key", "cuts"])
+def _stitch(chunk: int):
+    """Rows ``(row, chunks)`` to ``(row, place, piece, start, end)`` of each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for row, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                cuts = stitches([c["head"] for c in found], [c["tail"] for c in found])
+                out += [(row, place, *span) for place, span in enumerate(spans(cuts, len(found), chunk))]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["row", "place", "piece", "start", "end"])
+
+    return run
 
 
 def encode_documents(documents: DataFrame, raw: bytes, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -128,27 +169,21 @@ def encode_documents(documents: DataFrame, raw: bytes, chunk: int = CHUNK, overl
     if overlap <= _LOOKAHEAD or chunk < overlap:
         raise ValueError("the overlap must exceed the pattern's look-ahead and fit into a chunk")
     long = F.char_length("text") > chunk
-    short_rows = documents.where(~F.coalesce(long, F.lit(False))).select("doc_id", F.lit(0).alias("place"), "text")
-    short = short_rows.mapInArrow(_encode(raw, pa.int64(), "doc_id"), "doc_id long, place int, ids array<int>").select("doc_id", "ids")
-
-    # equal rows are encoded once and come out as often as there are; all that follows is keyed by them
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.sha2("text", 256))
-    texts = documents.where(long).select("doc_id", "text", key.alias("key")).groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").alias("copies"))
-    last = F.ceil(F.char_length("text") / F.lit(float(chunk))).cast("int") - 1
-    chunks = texts.select("key", "text", last.alias("last")).select("key", F.explode(F.sequence(F.lit(0), "last")).alias("place"), "last", "text")
-    cut = F.substring("text", F.col("place") * chunk + 1, F.lit(chunk + overlap))
-    spread = chunks.select("key", "place", (F.col("place") == F.col("last")).alias("last"), cut.alias("text")).repartition("key", "place")
-    found = spread.mapInArrow(_pretokenise(chunk, overlap), "key string, place int, head array<long>, tail array<long>")
-    in_order = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "head", "tail"))).alias("chunks"))
-    cuts = in_order.mapInArrow(_stitch, "key string, cuts array<long>")
-    starts = F.concat(F.array(F.lit(0).cast("long")), F.col("cuts"))
-    ends = F.concat(F.col("cuts"), F.array(F.char_length("text").cast("long")))
-    zipped = F.arrays_zip(starts.alias("start"), ends.alias("end"))
-    pieces = texts.join(cuts, "key").select("key", "text", F.posexplode(zipped).alias("place", "span"))
-    own = F.substring("text", F.col("span.start").cast("int") + 1, (F.col("span.end") - F.col("span.start")).cast("int"))
-    encoded = pieces.select("key", "place", own.alias("text")).repartition("key", "place").mapInArrow(_encode(raw, pa.string(), "key"), "key string, place int, ids array<int>")
-    whole = encoded.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
-    joined = texts.select("key", "doc_id", "copies").join(whole, "key")
-    ids = F.flatten(F.col("parts.ids"))
-    rows = joined.select("doc_id", ids.alias("ids"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    return short.unionByName(rows.select("doc_id", "ids"))
+    short_rows = documents.where(~F.coalesce(long, F.lit(False))).select("doc_id", "text")
+    short = short_rows.mapInArrow(_encode(raw, ["doc_id"], [pa.int64()]), "doc_id long, ids array<int>")
+
+    # the written table fixes the numbers of the rows, by which all that follows is keyed
+    numbered = documents.where(long).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chunks = written(numbered.mapInArrow(_cut(chunk, overlap), "row long, doc_id long, place int, last boolean, text string"), "long-text-chunks")
+    spread = chunks.select("row", "place", "last", "text").repartition("row", "place")
+    found = spread.mapInArrow(_pretokenise(chunk, overlap), "row long, place int, head array<long>, tail array<long>")
+    in_order = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "head", "tail"))).alias("chunks"))
+    placed = in_order.mapInArrow(_stitch(chunk), "row long, place int, piece int, start long, end long")
+    own = F.substring("text", (F.col("start") - F.col("place") * chunk + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
+    parts = chunks.join(placed, ["row", "place"]).select("row", "doc_id", "piece", "place", own.alias("text"))
+    in_place = F.array_sort(F.collect_list(F.struct("place", "text")))
+    pieces = parts.groupBy("row", "doc_id", "piece").agg(F.array_join(in_place["text"], "").alias("text"))
+    # a null doc_id is a key like any other
+    encoded = pieces.mapInArrow(_encode(raw, ["row", "doc_id", "piece"], [pa.int64(), pa.int64(), pa.int32()]), "row long, doc_id long, piece int, ids array<int>")
+    whole = encoded.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
+    return short.unionByName(whole.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids")))

@@ -61,3 +61,19 @@ def test_round_trip_and_long(raw, other):
         assert e.decode(raw, encode(t)) == t
     assert e.decode(raw, encode("a" * 100_000)) == "a" * 100_000
     assert e.decode(raw, encode(" " * 1_200_000 + "x")) == " " * 1_200_000 + "x"
+
+
+def test_spans_cover_the_text_once():
+    for cuts in ([], [12], [12, 21], [12, 21, 33]):
+        found = e.spans(cuts, 4, 10)
+        assert found[0][1] == 0 and all(a[2] == b[1] or b[0] == a[0] + 1 == len(cuts) for a, b in zip(found, found[1:], strict=False))
+        assert [p for p, *_ in found] == [min(i, len(cuts)) for i in range(4)]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["word ", "Other, ", "日本", "1.5 "]), st.tuples(st.sampled_from(" x\né"), st.integers(10, 400)).map(lambda p: p[0] * p[1])), min_size=8, max_size=60).map("".join))
+def test_long_runs_give_what_one_pass_gives(spark, raw, text):
+    df = spark.createDataFrame([(1, text), (1, text), (None, text + "!")], "doc_id long, text string")
+    encode = e.encoder(raw)
+    got = sorted((r["doc_id"] or 0, r["ids"]) for r in e.encode_documents(df, raw, 64, 16).collect())
+    assert got == [(0, encode(text + "!")), (1, encode(text)), (1, encode(text))]
