@@ -9,8 +9,9 @@ occurrences and documents of a term, and the grand total:
 
 Margins of terms join in two ways. Terms that stand in more than one of ``SHARE`` documents are few whatever the
 size of the collection: each takes more than N/SHARE of all (document, term) pairs, so there are fewer than SHARE
-times the mean number of terms in a document. They are broadcast. All other terms stand in at most N/SHARE
-documents each, so the shuffle by term that joins them has no hot key.
+times the mean number of terms in a document. They are counted, and broadcast if they are at most ``BROADCAST``; if
+documents are so long that there are more, their pairs are spread over ``SALTS`` keys a term and shuffled. All other
+terms stand in at most N/SHARE documents each, so the shuffle by term that joins them has no hot key.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from arborseek.operators.current import current_rows
 from arborseek.session import written
 
 SHARE = 1000
+BROADCAST = 200_000  # rows (term, df, occurrences) that are broadcast at most, about 10 MB
+SALTS = 64
 HOT_DOCS = 1000  # a document is hot if it holds more than one of so many rows; so there are fewer than that many
 
 
@@ -58,10 +61,18 @@ def term_margins(pairs: DataFrame) -> DataFrame:
 def with_margins(pairs: DataFrame, margins: DataFrame, documents: int) -> DataFrame:
     """Every pair with the margins of its term."""
     common = F.col("df") * SHARE > documents
-    near = pairs.join(F.broadcast(margins.where(common)), "term", "left")
-    known = near.where("df is not null")
-    rest = near.where("df is null").drop("df", "occurrences").join(margins.where(~common), "term")
-    return known.unionByName(rest)
+    hot = margins.where(common)
+    if hot.count() <= BROADCAST:
+        near = pairs.join(F.broadcast(hot), "term", "left")
+        known = near.where("df is not null")
+        rest = near.where("df is null").drop("df", "occurrences").join(margins.where(~common), "term")
+        return known.unionByName(rest)
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    spread = pairs.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    salted = spread.join(hot.withColumn("__salt", salt), ["term", "__salt"]).drop("__salt")
+    # pairs of common terms meet nothing here, but would all be shuffled to one key each: they go first
+    rest = spread.join(hot.select("term", salt.alias("__salt")), ["term", "__salt"], "left_anti").drop("__salt")
+    return salted.unionByName(rest.join(margins.where(~common), "term"))
 
 
 def tf_idf(documents: int) -> Column:

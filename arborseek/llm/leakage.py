@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborseek.llm.seen import rejoined, words
+from arborseek.session import written
 
 PASSAGE = 13
 RADIUS = 2
@@ -185,9 +186,20 @@ def find(index: Index, texts: Iterator[tuple[int, str]]) -> Iterator[tuple[int,
     yield from emit()
 
 
+_made: dict[int, Index] = {}  # the index a worker used last, for the next task on the same block of items
+
+
+def _index(items: list[tuple[int, str]], passage: int) -> Index:
+    key = xxhash.xxh64_intdigest(repr((items, passage)))
+    if key not in _made:
+        _made.clear()
+        _made[key] = Index(items, passage)
+    return _made[key]
+
+
 def _match(items: list[tuple[int, str]], passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, passage)
+        index = _index(items, passage)
         for b in batches:
             keys, texts = b.column(0), b.column(1).to_pylist()
             hits = list(find(index, ((i, t) for i, t in enumerate(texts) if t)))
@@ -197,8 +209,8 @@ def _match(items: list[tuple[int, str]], passage: int):
     return run
 
 
-def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[tuple[int, str]]]:
-    """Items in blocks of at most so many characters / 4 each, read one block at a time; an item is never divided.
+def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of about so many characters / 4 each, read one block at a time; an item is never divided.
 
     Rows without item_id or text are left out, repeated rows count once.
     """
@@ -206,18 +218,22 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[t
     size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * block_words)))
     parts = rows.withColumn("__block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    return [[(r["item_id"], r["text"]) for r in parts.where(F.col("__block") == k).collect()] for k in range(blocks)]
+    for k in range(blocks):
+        yield [(r["item_id"], r["text"]) for r in parts.where(F.col("__block") == k).collect()]
 
 
 def leaks(documents: DataFrame, items: DataFrame, passage: int = PASSAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(doc_id, item_id, word)``: each item that a row of ``documents`` leaks, with the number of a word where a passage starts.
 
     Null and empty texts leak nothing, items without words can't leak. Repeated documents come out each. Other
-    columns are ignored.
+    columns are ignored. Where items make more than one block, what each pass finds is written before the next block
+    is read, so that the driver never holds more than two.
     """
     texts = documents.where("length(text) > 0").select("doc_id", "text")
-    found = None
+    found, waiting = None, None
     for block in item_blocks(items, block_words):
-        part = texts.mapInArrow(_match(block, passage), "doc_id long, item_id long, word int")
-        found = part if found is None else found.unionByName(part)
-    return found
+        if waiting is not None:
+            part = written(waiting, "leaks")
+            found = part if found is None else found.unionByName(part)
+        waiting = texts.mapInArrow(_match(block, passage), "doc_id long, item_id long, word int")
+    return waiting if found is None else found.unionByName(waiting)

@@ -31,20 +31,16 @@ _WORD = re.compile(r"\s+|[，、；：]")
 _JOINED = re.compile(r"[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u1ab0-\u1aff\u1dc0-\u1dff\u200d\u20d0-\u20ff\u3099\u309a\ufe00-\ufe0f\ufe20-\ufe2f\U0001f3fb-\U0001f3ff\U000e0020-\U000e007f]")
 
 
-def _whole_character(text: str, at: int, floor: int) -> int:
-    """The last place up to ``at`` and above ``floor`` that doesn't part a character; ``at`` if there is none."""
-    place = at
-    while place > floor:
-        pair = text[place - 1] == "\r" and text[place : place + 1] == "\n"
-        flags = "\U0001f1e6" <= text[place : place + 1] <= "\U0001f1ff"
-        run = 0
-        if flags:
-            while place - 1 - run >= 0 and "\U0001f1e6" <= text[place - 1 - run] <= "\U0001f1ff":
-                run += 1
-        if not (_JOINED.match(text, place) or text[place - 1] == "\u200d" or pair or run % 2):
-            return place
-        place -= 1
-    return at
+def parts_character(text: str, at: int) -> bool:
+    """Whether a cut at ``at`` would part a character as a reader sees it; the ends of the text part none."""
+    if not 0 < at < len(text):
+        return False
+    run = 0
+    if "\U0001f1e6" <= text[at] <= "\U0001f1ff":
+        while at - 1 - run >= 0 and "\U0001f1e6" <= text[at - 1 - run] <= "\U0001f1ff":
+            run += 1
+    pair = text[at - 1] == "\r" and text[at] == "\n"
+    return bool(_JOINED.match(text, at) or text[at - 1] == "\u200d" or pair or run % 2)
 
 
 def boundaries(text: str, at_headings: bool) -> list[tuple[str, list[int]]]:
@@ -63,6 +59,10 @@ def pieces(text: str, size: int, at_headings: bool = True, overlap: int = 0) ->
 
     A text within ``size`` is one piece, an empty one has none. An overlap of ``size`` or more is cut to ``size - 1``,
     so that every piece gets on.
+
+    No piece ends within a character, unless one is longer than the limit. None starts within one either where a place
+    to cut allows it: of the places those are left out that would part a character, there or ``overlap`` before. Where
+    no place within reach does both, the overlap stays exact, and the next piece starts within a character.
     """
     if size < 1:
         raise ValueError("the size limit must be at least 1")
@@ -75,13 +75,15 @@ def pieces(text: str, size: int, at_headings: bool = True, overlap: int = 0) ->
         low, high = start + (overlap if out else 0), start + size
         # a piece must end behind the overlap with the next one, or the next would start where this one did
         low = max(low, start + overlap)
-        for kind, at in places:
-            k = bisect_right(at, high)
+        for kind, at in [*places, ("character", range(high + 1))]:
+            k = bisect_right(at, high) if kind != "character" else high + 1
+            while k and at[k - 1] > low and (parts_character(text, at[k - 1]) or overlap and parts_character(text, at[k - 1] - overlap)):
+                k -= 1
             if k and at[k - 1] > low:
                 end = at[k - 1]
                 break
         else:
-            kind, end = "character", _whole_character(text, high, low)
+            kind, end = "character", next((e for e in range(high, low, -1) if not parts_character(text, e)), high)
         out.append((start, end, kind))
         start = end - overlap
     if text:

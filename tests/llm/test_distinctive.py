@@ -26,9 +26,10 @@ def brute(docs):
 DOCS = {"a": ["x y x", "z"], "b": ["x q q q", None], "c": [""], "d": ["y y y w", "tie1 tie2 tie3"], "e": ["tie3 tie2 tie1"], "f": ["x " * 50]}
 
 
-@pytest.mark.parametrize("share", [1000, 2])
-def test_scores(spark, monkeypatch, share):
+@pytest.mark.parametrize(("share", "most"), [(1000, 10**6), (2, 10**6), (1000, 0), (2, 1)])
+def test_scores(spark, monkeypatch, share, most):
     monkeypatch.setattr(d, "SHARE", share)
+    monkeypatch.setattr(d, "BROADCAST", most)
     tf, df = brute(DOCS)
     table = chunks(spark, DOCS)
     n = d.document_total(table)

@@ -66,7 +66,7 @@ def test_against_brute_force(spark):
     for passage, block in ((13, 10**6), (5, 20)):
         got = [(r["doc_id"], r["item_id"]) for r in ops.leaks(df, idf, passage, block).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(docs, known, passage)
-    assert len(ops.item_blocks(idf, 20)) > 1
+    assert len(list(ops.item_blocks(idf, 20))) > 1
     assert ops.leaks(df, idf.limit(0)).count() == 0 and ops.leaks(df.limit(0), idf).count() == 0
 
 

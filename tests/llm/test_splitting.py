@@ -49,6 +49,26 @@ def test_kinds(text, size, at, first):
     assert (text[: made[0][1]], made[0][2]) == first
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "e\u0301", "👩🏽", "🇪🇺", "👩\u200d🔬", "\r\n", " ", "b. "]), max_size=60).map("".join), st.integers(12, 40), st.integers(0, 4))
+def test_no_piece_ends_within_a_character(text, size, overlap):
+    for _, e, _ in check(text, size, True, overlap):
+        assert not s.parts_character(text, e)
+
+
+@pytest.mark.parametrize("overlap", [1, 2, 3])
+def test_overlaps_begin_with_whole_characters_where_a_place_to_cut_allows_it(overlap):
+    text = "ae\u0301b " * 40
+    assert not any(s.parts_character(text, b) for b, _, _ in check(text, 11, True, overlap))
+
+
+def test_where_none_does_the_overlap_stays_exact():
+    text = "e\u0301" * 40
+    made = check(text, 11, True, 3)  # no two places three apart are both between characters
+    assert all(not s.parts_character(text, e) for _, e, _ in made) and all(s.parts_character(text, b) for b, _, _ in made[1:])
+    assert len(check(text, 1, True, 0)) == 80  # a limit below a character parts it
+
+
 def test_very_long():
     assert len(check("word " * 200_000, 1500, True, 200)) > 700
     assert len(check("x" * 300_000, 1000, True, 999)) > 200_000
