@@ -140,7 +140,7 @@ SQL = {
     "chunk_listing": CURRENT + "SELECT id, depth, array_to_string(hierarchy, ' > ') AS breadcrumb, strlen(body) AS bytes FROM cur",
     "get_by_id": CURRENT + "SELECT id, doc_id, depth, body FROM cur WHERE id = (SELECT max(id) FROM chunks)",
     "get_by_path": CURRENT + "SELECT id, position, hierarchy[-1] AS title FROM cur WHERE doc_id = (SELECT max(doc_id) FROM chunks)",
-    "json_results": CURRENT + """SELECT id, '{"id":"' || id || '","doc_id":"' || doc_id || '","depth":' || depth || '}' AS json FROM cur QUALIFY row_number() OVER (PARTITION BY tree ORDER BY id) <= 10""",
+    "json_results": CURRENT + """SELECT id, '{"id":"' || id || '","doc_id":"' || doc_id || '","depth":' || depth || '}' AS json FROM cur""",
     "slugify": CURRENT + f"SELECT id, {_SLUG} AS slug FROM cur",
     "slug_dedup": CURRENT + f", b AS (SELECT id, doc_id, position, {_SLUG} AS base FROM cur WHERE depth > 0), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY position, id) - 1 AS k FROM b) SELECT id, CASE WHEN k > 0 THEN base || '-' || k ELSE base END AS slug FROM n",
     "id_parts": CURRENT + "SELECT id, split_part(id, ':', 1) AS tree, split_part(substr(id, instr(id, ':') + 1), '#', 1) AS path, CASE WHEN contains(id, '#') THEN split_part(id, '#', -1) END AS slug FROM cur",

@@ -121,6 +121,17 @@ SQL = {
     + _TERMS
     + """, scoring AS (SELECT id, m.term, round(freq * weight * (ln(((SELECT n FROM total) + 1) / (df + 1)) + 1), 6) AS score FROM merged m JOIN dfs ON dfs.term = m.term AND dfs.field = 'body')
 SELECT id, term, score FROM scoring QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, term) <= 5""",
+    "rake": CURRENT
+    + r""", pieces AS (SELECT id, unnest(regexp_split_to_array(lower(body), '[^\p{L}\p{N}_\s''’\-]+|\n+')) AS piece, unnest(range(len(regexp_split_to_array(lower(body), '[^\p{L}\p{N}_\s''’\-]+|\n+')))) AS k FROM cur WHERE body <> ''),
+found AS (SELECT id, k, regexp_extract_all(piece, '[\p{L}\p{N}]+(?:[''’\-][\p{L}\p{N}]+)*') AS w FROM pieces),
+each AS (SELECT id, k, unnest(w) AS w, unnest(range(len(w))) AS i FROM found),
+runs AS (SELECT *, (w IN (""" + _STOP + r""") OR regexp_full_match(w, '\p{Nd}+'))::INT AS bar, sum((w IN (""" + _STOP + r""") OR regexp_full_match(w, '\p{Nd}+'))::INT) OVER (PARTITION BY id, k ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM each),
+inside AS (SELECT id, k, run, w, (row_number() OVER (PARTITION BY id, k, run ORDER BY i) - 1) AS j FROM runs WHERE bar = 0),
+phr AS (SELECT id, list(w ORDER BY j) AS p FROM inside GROUP BY id, k, run, j // 3),
+degrees AS (SELECT id, w, count(*) AS freq, sum(n) AS degree FROM (SELECT id, unnest(p) AS w, len(p) AS n FROM phr) GROUP BY id, w),
+spread AS (SELECT id, p, unnest(p) AS w FROM (SELECT DISTINCT id, p FROM phr)),
+sums AS (SELECT id, array_to_string(p, ' ') AS term, max(total) AS score FROM (SELECT id, p, sum(degree / freq) AS total FROM spread JOIN degrees USING (id, w) GROUP BY id, p) GROUP BY id, array_to_string(p, ' '))
+SELECT id, term, round(score, 6) AS score FROM sums QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, term) <= 10""",
     "stored_keywords": "SELECT doc_id, lower(trim(term, ' ')) AS term, round(max(score::DOUBLE), 4) AS score, count(DISTINCT coalesce(algorithm, '')) AS algorithms FROM keywords WHERE doc_id IS NOT NULL AND trim(term, ' ') <> '' AND score > 0 GROUP BY ALL",
     "include_inject": _FOUND.replace("{n}", "10")
     + """, wanted AS (SELECT min(doc_id) AS doc_id, 0 AS place FROM cur UNION ALL SELECT max(doc_id), 1 FROM cur),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +110,22 @@ def search(spark, folder, query="cache OR heading", **kw):
     return ranking.pipeline(found, index.chunks, table(spark, folder, "trees"), _params(**kw)).select("id", "doc_id", "tree", F.round("score", 6).alias("score"), "is_aggregated", "rank_in")
 
 
+def search_in_tree(spark, folder):
+    """Results of one tree without roll-up, over scores rounded to five digits, so that ties are the same everywhere."""
+    index = _index(spark, folder)
+    found = Compiler(index).run(parse("cache OR heading")).withColumn("score", F.round("score", 5))
+    params = _params(trees=("handbook",), aggregate=False, cutoff_ratio=0.5, limit=20)
+    return ranking.pipeline(found, index.chunks, table(spark, folder, "trees"), params).select("id", "doc_id", "tree", F.round("score", 4).alias("score"), "rank_in")
+
+
+def flat_stats(spark, folder):
+    """How many rows each phase leaves without roll-up, and why the elbow cut."""
+    index = _index(spark, folder)
+    found = Compiler(index).run(parse("cache OR heading")).withColumn("score", F.round("score", 5))
+    params = _params(trees=("handbook",), aggregate=False, cutoff_ratio=0.5, limit=20)
+    return ranking.pipeline_stats(found, index.chunks, table(spark, folder, "trees"), params)
+
+
 def pipeline_stats(spark, folder):
     index = _index(spark, folder)
     return ranking.pipeline_stats(Compiler(index).run(parse("cache OR heading")), index.chunks, table(spark, folder, "trees"), _params())
@@ -150,7 +164,7 @@ def more_like_this(spark, folder):
 def more_like_each(spark, folder):
     """The ten chunks most like each query chunk, out of all chunks. Queries are the chunks whose id's hash is divisible by 50."""
     index = _index(spark, folder)
-    return similar.more_like_each(index.chunks.where("pmod(xxhash64(id), 50) = 0"), index)
+    return similar.more_like_each(index.chunks.where("cast(conv(substring(md5(id), 1, 8), 16, 10) as bigint) % 50 = 0"), index)
 
 
 def similar_terms(spark, folder):
@@ -195,6 +209,8 @@ QUERIES = {
     "phrase_or_not": search_scores('"worth noting" OR -cache'),
     "hyphen_phrase": search_scores("body:worth-noting"),
     "fuzzy_d1": search_scores("cahce", fuzzy=1),
+    "fuzzy_d2": search_scores("cahcee", fuzzy=2),
+    "fuzzy_mixed": search_scores("cahce^2 OR haeding OR body:metrc", fuzzy=1),
     "empty_query": search_scores("..."),
     "fuzzy_vocab_map": fuzzy_vocab_map,
     "heading_boost": heading_boost,
@@ -205,7 +221,8 @@ QUERIES = {
     "sibling_rss": sibling_rss,
     "hier_fold": hier_fold,
     "search": search,
-    "search_in_tree": partial(search, trees=("handbook",), aggregate=False),
+    "search_in_tree": search_in_tree,
+    "flat_stats": flat_stats,
     "pipeline_stats": pipeline_stats,
     "range_merge": range_merge,
     "matching_lines": matching_lines,
@@ -231,6 +248,16 @@ picked AS (
   SELECT p.field, p.term, df, tf * ln(1 + ((SELECT n FROM total) - df + 0.5) / (df + 0.5)) AS w FROM post p JOIN dfs USING (field, term)
   WHERE p.id = (SELECT id FROM src) AND length(p.term) BETWEEN 3 AND 40 AND p.term NOT IN ({stop}) ORDER BY w DESC, p.field, p.term LIMIT 25
 ), weights AS (SELECT field, term, df, w / (SELECT max(w) FROM picked) AS weight FROM picked)"""
+_FLAT = (
+    TOKENS
+    + """, tops AS (SELECT id, doc_id, tree, score, row_number() OVER (ORDER BY score DESC, id) AS rank_in FROM (
+  SELECT id, doc_id, tree, round(sum(s), 5) AS score FROM scored WHERE term IN ('cache', 'heading') AND tree = 'handbook' GROUP BY ALL) ORDER BY score DESC, id LIMIT 1000),
+known AS (SELECT name, bool_or(is_global) AS is_global FROM trees GROUP BY name),
+boosted AS (SELECT t.id, t.doc_id, t.tree, rank_in, score * CASE WHEN depth <= 1 THEN 5 ELSE 5 * pow(0.7, depth - 1) END * CASE WHEN is_global THEN 1.0 ELSE 1.5 END AS score FROM tops t JOIN cur USING (id) LEFT JOIN known ON name = t.tree),
+nx AS (SELECT *, lead(score) OVER (ORDER BY rank_in) AS nxt FROM boosted),
+cut AS (SELECT min(CASE WHEN nxt IS NULL THEN NULL WHEN score <= 0 THEN rank_in - 1 WHEN nxt <= 0 THEN rank_in WHEN nxt / score < 0.5 THEN rank_in END) AS c, count(*) AS n FROM nx)
+"""
+)
 _STOP = ", ".join(f"'{w}'" for w in similar.STOP)
 _LINES = CURRENT + r""", each AS (SELECT id, unnest(string_split(body, chr(10))) AS text, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS line FROM cur WHERE body IS NOT NULL)"""
 
@@ -257,6 +284,10 @@ SQL = {
     + _PHRASE
     + ", sums AS (SELECT id, sum(s) AS s FROM phr GROUP BY id), has AS (SELECT DISTINCT id FROM post WHERE term = 'cache') SELECT c.id, round(coalesce(s, 0) + CASE WHEN h.id IS NULL THEN 1 ELSE 0 END, 5) AS score FROM cur c LEFT JOIN sums USING (id) LEFT JOIN has h ON h.id = c.id WHERE s IS NOT NULL OR h.id IS NULL",
     "fuzzy_d1": TOKENS + f"SELECT id, round(sum(CASE field WHEN 'hierarchy' THEN 3 WHEN 'tags' THEN 5 WHEN 'path' THEN 12 ELSE 1 END)::DOUBLE, 5) AS score FROM (SELECT DISTINCT id, field FROM post WHERE {_NEAR.format(n=5, w='cahce')}) GROUP BY id",
+    "fuzzy_d2": TOKENS + f"SELECT id, round(sum(CASE field WHEN 'hierarchy' THEN 3 WHEN 'tags' THEN 5 WHEN 'path' THEN 12 ELSE 1 END)::DOUBLE, 5) AS score FROM (SELECT DISTINCT id, field FROM post WHERE abs(length(term) - 6) <= 2 AND damerau_levenshtein(term, 'cahcee') <= 2) GROUP BY id",
+    "fuzzy_mixed": TOKENS
+    + f""", found AS (SELECT DISTINCT id, field, 2.0 AS w FROM post WHERE {_NEAR.format(n=5, w='cahce')} UNION ALL SELECT DISTINCT id, field, 1.0 FROM post WHERE {_NEAR.format(n=7, w='haeding')} UNION ALL SELECT DISTINCT id, field, 1.0 FROM post WHERE field = 'body' AND {_NEAR.format(n=5, w='metrc')})
+SELECT id, round(sum(w * CASE field WHEN 'hierarchy' THEN 3 WHEN 'tags' THEN 5 WHEN 'path' THEN 12 ELSE 1 END)::DOUBLE, 5) AS score FROM found GROUP BY id""",
     "empty_query": "SELECT id, 0.0::DOUBLE AS score FROM chunks WHERE false",
     "fuzzy_vocab_map": TOKENS + ", words(word) AS (VALUES ('cahce'), ('heading'), ('metric')) SELECT word, list_sort(list(DISTINCT term)) AS terms FROM words, dfs WHERE field <> 'tags' AND abs(length(term) - length(word)) <= 1 AND damerau_levenshtein(term, word) <= 1 GROUP BY word",
     "heading_boost": CURRENT + "SELECT id, round(CASE WHEN depth <= 1 THEN 5 ELSE 5 * pow(0.7, depth - 1) END, 6)::DOUBLE AS boost FROM cur",
@@ -270,7 +301,7 @@ SELECT id, score, rank_in FROM nx, cut WHERE rank_in <= least(coalesce(c, n), 10
     "sibling_rss": _CANDS.replace("{n}", "500") + ", sib AS (SELECT parent_id, count(*) AS n, max(sibling_count) AS m, sqrt(sum(score * score)) AS s FROM cands JOIN cur USING (id) WHERE parent_id IS NOT NULL GROUP BY parent_id) SELECT parent_id, n, round(s, 5) AS score FROM sib WHERE n >= 2 AND m > 0 AND n / m >= 0.1",
     "range_merge": _LINES
     + """, spans AS (SELECT id, line, coalesce(sum(strlen(text) + 1) OVER (PARTITION BY id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, strlen(text) AS n FROM each),
-kept AS (SELECT id, s, s + n + 1 AS e FROM spans WHERE n > 0 AND line % 3 <> 0),
+kept AS (SELECT id, s, s + n + 1 AS e FROM spans WHERE n > 0),
 marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM kept),
 islands AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM marked)
 SELECT id, min(s) AS start, max(e) AS "end" FROM islands GROUP BY id, k""",
@@ -280,8 +311,24 @@ SELECT id, min(s) AS start, max(e) AS "end" FROM islands GROUP BY id, k""",
     + """, hits AS (SELECT p.id, weight * CASE field WHEN 'hierarchy' THEN 3 WHEN 'tags' THEN 5 WHEN 'path' THEN 12 ELSE 1 END * ln(1 + ((SELECT n FROM total) - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) AS s
   FROM post p JOIN weights USING (field, term) JOIN lens USING (id, field) JOIN avgs USING (field) WHERE p.id <> (SELECT id FROM src) AND p.doc_id <> (SELECT id FROM src))
 SELECT id, round(sum(s), 5) AS score FROM hits GROUP BY id ORDER BY score DESC, id LIMIT 10""",
+    "more_like_each": TOKENS
+    + """, srcs AS (SELECT id AS source FROM cur WHERE ('0x' || substr(md5(id), 1, 8))::UBIGINT % 50 = 0),
+own AS (SELECT source, p.field, p.term, df, tf * ln(1 + ((SELECT n FROM total) - df + 0.5) / (df + 0.5)) AS w FROM srcs JOIN post p ON p.id = source JOIN dfs USING (field, term)
+  WHERE length(p.term) BETWEEN 3 AND 40 AND p.term NOT IN ({stop}) QUALIFY row_number() OVER (PARTITION BY source ORDER BY w DESC, p.field, p.term) <= 25),
+hits AS (SELECT source, p.id, w / max(w) OVER (PARTITION BY source) AS weight, p.field, tf, len, avg_len, df FROM post p JOIN own USING (field, term) JOIN lens l ON l.id = p.id AND l.field = p.field JOIN avgs ON avgs.field = p.field),
+sums AS (SELECT source, id, round(sum(weight * CASE field WHEN 'hierarchy' THEN 3 WHEN 'tags' THEN 5 WHEN 'path' THEN 12 ELSE 1 END * ln(1 + ((SELECT n FROM total) - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 5) AS score
+  FROM hits WHERE id <> source AND id NOT IN (SELECT c.id FROM cur c WHERE c.doc_id = source) GROUP BY source, id)
+SELECT source, id, score FROM sums QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, id) <= 10""".replace("{stop}", _STOP),
+    "search_in_tree": _FLAT + "SELECT id, doc_id, tree, round(score, 4) AS score, rank_in FROM nx, cut WHERE rank_in <= least(coalesce(c, n), 500, 20) OR n = 1",
+    "flat_stats": _FLAT
+    + """SELECT n AS candidates, n AS aggregated, least(coalesce(c, n), 500) AS after_elbow,
+  CASE WHEN n <= 1 THEN 'too_few_results' WHEN coalesce(c, n) > 500 THEN 'max_results_reached' WHEN c IS NULL THEN 'no_elbow' ELSE 'ratio_below_threshold' END AS cutoff FROM cut""",
+    "match_ranges": CURRENT
+    + r""", parts AS (SELECT id, regexp_extract_all(body, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS t FROM cur WHERE body IS NOT NULL),
+each AS (SELECT id, unnest(t) AS t, unnest(range(len(t))) AS i FROM parts),
+placed AS (SELECT id, t, coalesce(sum(strlen(t)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot FROM each)
+SELECT id, spot AS "offset", strlen(t) AS length FROM placed WHERE lower(t) IN ('cache', 'heading')""",
     "similar_terms": TOKENS + _SOURCE.replace("{stop}", _STOP) + "SELECT field, term, round(weight, 6) AS weight FROM weights",
     "batched_terms": TOKENS
-    + """, wanted AS (SELECT term FROM dfs WHERE field = 'body' ORDER BY df DESC, term LIMIT 200)
-SELECT term, id, round(s, 5) AS score FROM scored WHERE field = 'body' AND term IN (SELECT term FROM wanted) QUALIFY row_number() OVER (PARTITION BY term ORDER BY round(s, 5) DESC, id) = 1""",
+    + """SELECT term, id, round(s, 5) AS score FROM scored WHERE field = 'body' QUALIFY row_number() OVER (PARTITION BY term ORDER BY round(s, 5) DESC, id) = 1""",
 }
