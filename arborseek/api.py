@@ -6,12 +6,14 @@ import json
 import re
 import uuid
 from dataclasses import replace
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborseek.chunking import chunk_documents
 from arborseek.config import Config, effective_trees, match_rules, merge_matched
+from arborseek.functions.terms import STOP
 from arborseek.functions.text import breadcrumb, title
 from arborseek.operators import changes, context, highlight, keywords, ranking, scoring, similar
 from arborseek.operators.index import BOOSTS, COLUMNS, EXPANDED, FIELDS, Index, among
@@ -137,7 +139,7 @@ class Engine:
         done["processed"] = done["added"] + done["modified"]
         done["skipped"] = listing.count() - done["processed"]
         if now and not counts:
-            return done | {"errors": 0, "chunks": self._load().count}
+            return done | {"errors": 0, "oversized": 0, "chunks": self._load().count}
         fresh = listing.join(diff.where("change_kind <> 'removed'"), "key", "left_semi")
         generation = f"g-{uuid.uuid4().hex}"
         base = f"{self.folder}/{generation}"
@@ -165,7 +167,9 @@ class Engine:
         manifest = [*now["manifest"], generation] if now else [generation]
         self._put_current({"index": parts, "manifest": manifest, "run": place, "base_chunks": base_chunks, "added_chunks": added, "config": self.config.hash()})
         self._index = None
-        return done | {"errors": errors.count(), "chunks": self._load().count}
+        # chunks above the limit are kept whole and told
+        oversized = made.where(F.char_length("body") > self.config.settings["max_chunk_size"]).count()
+        return done | {"errors": errors.count(), "oversized": oversized, "chunks": self._load().count}
 
     def _load(self) -> Index:
         now = self._current()
@@ -254,6 +258,11 @@ class Engine:
         picked = similar.select_terms(similar.source_of_chunk(index, id), index)
         return picked.withColumn("score", F.col("weight") * scoring.bm25_idf("df", index.count)).orderBy(F.desc("weight"))
 
+    def _stopwords(self) -> list[str]:
+        """The library's stopwords and those of the configuration's list."""
+        more = self.config.settings["stopwords_file"]
+        return sorted({*STOP, *(Path(more).expanduser().read_text(encoding="utf-8").lower().split() if more else ())})
+
     def context_query(self, files: list[tuple[str, str]], algorithm: str = "textrank", trees: list[str] | None = None) -> tuple[Expr | None, object]:
         """The query that files ``(path, content)`` make, and what the rules say about them. The files are few: a user's."""
         index, n = self._load(), self.config.settings["context_terms"]
@@ -263,15 +272,16 @@ class Engine:
         queries: list[Expr | None] = []
         if name == "tfidf":
             rows = self.spark.createDataFrame([(p, p, c) for p, c in files], "id string, path string, content string")
-            md = F.lower("path").endswith(".md")
-            own = context.markdown_terms(rows.where(md), shortest=shortest).unionByName(context.body_terms(rows.where(~md), column="content", shortest=shortest))
-            merged = context.merge_terms(context.path_terms(rows, shortest=shortest).unionByName(own))
+            md = F.lower("path").rlike(r"\.(md|markdown)$")
+            stop = self._stopwords()
+            own = context.markdown_terms(rows.where(md), shortest=shortest, stop=stop).unionByName(context.body_terms(rows.where(~md), column="content", shortest=shortest, stop=stop))
+            merged = context.merge_terms(context.path_terms(rows, shortest=shortest, stop=stop).unionByName(own))
             kept = effective_trees(trees, matched.trees)
             stats, count = index.terms.where("field = 'body'"), index.count
             if kept is not None:
                 part = ranking.in_trees(index.postings, kept).where("field = 'body'")
                 stats, count = part.groupBy("term").agg(F.count("*").alias("df")), ranking.in_trees(index.chunks, kept).count()
-            ranked = context.rank_terms(merged, stats, count).select("id", "term", "score").collect()
+            ranked = context.rank_terms(merged, stats, count, language=index.language).select("id", "term", "score").collect()
             for p, _ in files:
                 queries.append(context.build_query([(r["term"], r["score"]) for r in ranked if r["id"] == p], n))
         else:

@@ -82,7 +82,7 @@ class Node:
 def tree_of(text: str, title: str) -> Node:
     """The document node with its headings; those with an empty span are dropped, before slugs are given."""
     root = Node(title, 0, 0, len(text), 0)
-    found = headings(text)
+    found = headings(text, nested=True)
     taken: Counter[str] = Counter()
     open_: list[Node] = [root]
     for i, h in enumerate(found):
@@ -112,17 +112,20 @@ def chunk_markdown(content: str, path: str, tree: str, strip_frontmatter: bool =
     meta, rest = frontmatter(content)
     text = rest if meta and strip_frontmatter else content
     shift = len(content.encode()) - len(text.encode())
-    first = next((h.text for h in headings(text) if h.level == 1), None)
+    marks = headings(text, nested=True)
+    first = next((h.text for h in marks if h.level == 1), None)
     title = (meta.title if meta else None) or first or PurePosixPath(path).stem or "Untitled"
     root = tree_of(text, title)
     doc_id = f"{tree}:{path}"
     name = lambda n: doc_id if n.slug is None else f"{doc_id}#{n.slug}"
-    bytes_to = [0]
-    for c in text:
-        bytes_to.append(bytes_to[-1] + len(c.encode()))
-    first_heading = next((h.start for h in headings(text)), len(text))
+    nodes = list(_walk(root))
+    places = sorted({0, *(n.start for n in nodes), *(n.end for n in nodes)})
+    bytes_to = {0: 0}
+    for a, b in zip(places, places[1:], strict=False):
+        bytes_to[b] = bytes_to[a] + len(text[a:b].encode())
+    first_heading = next((h.start for h in marks), len(text))
     rows = []
-    for position, n in enumerate(_walk(root)):
+    for position, n in enumerate(nodes):
         end = n.children[0].line if n.children else first_heading if n.slug is None else n.end
         above, at = [], n
         while at.parent is not None:
@@ -165,12 +168,22 @@ def chunk_documents(files: DataFrame, strip_frontmatter: bool = False) -> DataFr
     """Chunk rows of ``files(tree, path, content)``, with ``error`` where a file couldn't be read. Files are read in parallel, each alone."""
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
 
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=columns)
+        for c in ("depth", "position", "byte_start", "byte_end", "sibling_count"):
+            out[c] = out[c].astype("Int64")
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for tree, path, content in zip(b["tree"], b["path"], b["content"], strict=True) for r in chunk_file(bytes(content or b""), path, tree, strip_frontmatter)]
-            out = pd.DataFrame(rows, columns=columns)
-            for c in ("depth", "position", "byte_start", "byte_end", "sibling_count"):
-                out[c] = out[c].astype("Int64")
-            yield out
+            rows, held = [], 0
+            for tree, path, content in zip(b["tree"], b["path"], b["content"], strict=True):
+                made = chunk_file(bytes(content or b""), path, tree, strip_frontmatter)
+                rows += made
+                held += len(content or b"")
+                if held > 16_000_000:  # large files come out alone
+                    yield frame(rows)
+                    rows, held = [], 0
+            yield frame(rows)
 
     return files.select("tree", "path", F.col("content").cast("binary").alias("content")).mapInPandas(run, SCHEMA)

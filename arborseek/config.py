@@ -11,12 +11,13 @@ from pathlib import Path
 
 from arborseek.operators.context import Matched
 
-SCHEMA_VERSION = 1
-# fixed values: defaults of the settings
-DEFAULTS = {"limit": 10, "aggregation_pool_size": 500, "cutoff_ratio": 0.3, "aggregation_threshold": 0.1, "local_boost": 1.5, "fuzzy_distance": 1, "stemmer": "english", "max_chunk_size": 50000, "context_terms": 50, "min_word_length": 4}
+SCHEMA_VERSION = 2
+# defaults of the settings; ``stopwords_file`` names a list of further stopwords, one a line
+DEFAULTS = {"limit": 10, "aggregation_pool_size": 500, "cutoff_ratio": 0.3, "aggregation_threshold": 0.1, "local_boost": 1.5, "fuzzy_distance": 1, "stemmer": "english", "max_chunk_size": 50000, "context_terms": 50, "min_word_length": 4, "stopwords_file": ""}
+# fixed values: extensions of files that hold no text
 BINARY = (
-    "7z a avi bin bmp bz2 class dat db dll dmg doc docx dylib ear eot exe flac flv gif gz ico iso jar jpeg jpg lib lz lzma m4a mkv mov mp3 mp4 o obj odt ogg otf pdf png ppt pptx "
-    "pyc pyo rar rlib so sqlite svgz tar tgz tif tiff ttf war wasm wav webm webp wma wmv woff woff2 xls xlsx xz zip zst"
+    "7z a avi bin bmp bundle bz2 class dat db dll dmg doc docx dylib ear eot exe flac flv gif gz ico iso jar jpeg jpg lib lz lzma m4a mdb mkv mov mp3 mp4 o obj odt ogg otf pak pdf png ppt pptx psd "
+    "pyc pyo rar rlib so sqlite svg svgz tar tgz tif tiff ttf war wasm wav webm webp wma wmv woff woff2 xls xlsx xz zip zst"
 ).split()
 
 
@@ -94,7 +95,15 @@ class Config:
         return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
 
     def to_toml(self) -> str:
-        return "[settings]\n" + "".join(f"{k} = {json.dumps(v)}\n" for k, v in self.settings.items())
+        """The configuration as it is in force, in a form that :func:`load_config` reads again."""
+        line = lambda k, v: f"{k} = {json.dumps(v, ensure_ascii=False)}\n"
+        out = ["[settings]\n", *(line(k, v) for k, v in self.settings.items())]
+        for t in self.trees:
+            out += [f"\n[trees.{json.dumps(t.name)}]\n", line("path", t.path), *(line(k, v) for k, v in (("include", t.include), ("exclude", t.exclude)) if v)]
+        for r in self.rules:
+            out += ["\n[[context.rules]]\n", line("match", r.match), line("terms", r.terms)]
+            out += [line(k, v) for k, v in (("trees", r.trees), ("include", r.include)) if v is not None and (v or k == "trees")] + [line(k, v) for k, v in r.overrides.items()]
+        return "".join(out)
 
 
 def match_rules(rules: list[Rule], path: str) -> Matched:

@@ -61,17 +61,69 @@ def plain_inline(text: str) -> str:
     return re.sub("\0(\\d+)\0", lambda m: code[int(m[1])], text)
 
 
-def headings(text: str) -> list[Heading]:
-    """ATX and setext headings in order. Fenced and indented code and raw HTML blocks hold none, nor do quotes or lists."""
+_MARKER = re.compile(r" {0,3}(?:[-+*]|\d{1,9}[.)])(?=[ \t]|$)")
+_QUOTE = re.compile(r" {0,3}>[ \t]?")
+
+
+def _inside(body: str, boxes: list[int]) -> tuple[int, int]:
+    """Of a line within open quotes (0) and list items (their indent) how many go on, and where its text starts."""
+    at = 0
+    for n, indent in enumerate(boxes):
+        if indent == 0:
+            m = _QUOTE.match(body, at)
+            if not m:
+                return n, at
+            at = m.end()
+        elif body[at:].strip():
+            if body[at : at + indent].strip(" \t") or len(body[at:].expandtabs(4)) - len(body[at:].expandtabs(4).lstrip()) < indent:
+                return n, at
+            at += min(indent, len(body[at:]) - len(body[at:].lstrip()))
+    return len(boxes), at
+
+
+def _enter(body: str, at: int, boxes: list[int]) -> int:
+    """Open the quotes and list items that begin at a line's text; where the text within them starts."""
+    while True:
+        if m := _QUOTE.match(body, at):
+            boxes.append(0)
+            at = m.end()
+        elif (m := _MARKER.match(body, at)) and not _RULE.match(body[at:]):
+            blanks = len(body) - m.end() - len(body[m.end() :].lstrip(" "))
+            blanks = 1 if blanks > 4 or not body[m.end() :].strip() else blanks
+            boxes.append(m.end() - at + max(1, blanks))
+            at = min(len(body), m.end() + blanks)
+        else:
+            return at
+
+
+def headings(text: str, nested: bool = False) -> list[Heading]:
+    """ATX and setext headings in order. Fenced and indented code and raw HTML blocks hold none.
+
+    With ``nested`` those in quotes and list items count too; they start at their text, behind the marks of the quote or item.
+    """
     found: list[Heading] = []
     fence: str | None = None
     raw: re.Pattern | None = None
     until_blank = False
     paragraph: list[tuple[int, str]] = []  # lines of the open paragraph
+    boxes: list[int] = []
     at = 0
     for line in text.splitlines(keepends=True) if "\r" not in text else re.split(r"(?<=\n)", text):
         start, at = at, at + len(line)
         body = line.rstrip("\r\n")
+        if nested and (boxes or ">" in body or _MARKER.match(body)):
+            kept, inner = _inside(body, boxes)
+            if kept < len(boxes):
+                del boxes[kept:]
+                fence, raw, until_blank = None, None, False
+                # a paragraph may go on without its marks, but no heading comes of it then
+                paragraph = []
+            if not (fence or raw or until_blank) and not (_INDENTED.match(body, inner) and not paragraph):
+                depth = len(boxes)
+                inner = _enter(body, inner, boxes)
+                if len(boxes) > depth:
+                    paragraph = []
+            start, body = start + inner, body[inner:]
         if fence:
             close = _FENCE.match(body)
             if close and close[1][0] == fence[0] and len(close[1]) >= len(fence) and not body.strip().strip(fence[0]):
@@ -111,7 +163,7 @@ def headings(text: str) -> list[Heading]:
         if _RAW_NAMED.match(body):
             until_blank, paragraph = True, []
             continue
-        if body.lstrip().startswith(">") or _ITEM.match(body):
+        if not nested and (body.lstrip().startswith(">") or _ITEM.match(body)):
             paragraph = []
             continue
         paragraph.append((start, body))

@@ -1,4 +1,4 @@
-"""English stemming by the published Porter2 rules, over distinct words only."""
+"""Stemming over distinct words only: English by the published Porter2 rules here, German, French and Spanish in ``snowball``."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborseek.functions.snowball import french, german, spanish
+
 # fixed values: the exceptions and endings of the published algorithm
 _SPECIAL = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
@@ -23,7 +25,7 @@ _STEP3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "ici
 _STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic"]
 
 _V = "aeiouy"
-LANGUAGES = ("none", "english")
+LANGUAGES = ("none", "english", "german", "french", "spanish")
 
 
 def _regions(w: str) -> tuple[int, int]:
@@ -107,7 +109,7 @@ def stemmer(language: str):
     name = language.lower()
     if name not in LANGUAGES:
         raise ValueError(f"unsupported stemmer language: {language}")
-    return stem if name == "english" else (lambda w: w)
+    return {"none": lambda w: w, "english": stem, "german": german, "french": french, "spanish": spanish}[name]
 
 
 def stem_column(df: DataFrame, column: str, language: str) -> DataFrame:

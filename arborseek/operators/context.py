@@ -7,8 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborseek.chunking import frontmatter
 from arborseek.functions.markdown import headings
-from arborseek.functions.terms import MIN_LENGTH, context_words, path_words
+from arborseek.functions.stem import stem_column
+from arborseek.functions.terms import MIN_LENGTH, STOP, context_words, path_words
 from arborseek.operators import scoring
 from arborseek.query.ast import Boost, Expr, Term, any_of
 
@@ -18,21 +20,21 @@ RULE_BOOST = 2.0
 TERMS = 50
 
 
-def body_terms(rows: DataFrame, key: str = "id", column: str = "body", shortest: int = MIN_LENGTH) -> DataFrame:
+def body_terms(rows: DataFrame, key: str = "id", column: str = "body", shortest: int = MIN_LENGTH, stop: list[str] = STOP) -> DataFrame:
     """``(key, term, weight, source, freq)`` of plain text: weight 1."""
-    each = rows.select(key, F.explode(context_words(column, shortest)).alias("term"))
+    each = rows.select(key, F.explode(context_words(column, shortest, stop)).alias("term"))
     return each.groupBy(key, "term").agg(F.lit(1.0).alias("weight"), F.lit("body").alias("source"), F.count("*").alias("freq"))
 
 
-def path_terms(rows: DataFrame, key: str = "id", column: str = "path", shortest: int = MIN_LENGTH) -> DataFrame:
+def path_terms(rows: DataFrame, key: str = "id", column: str = "path", shortest: int = MIN_LENGTH, stop: list[str] = STOP) -> DataFrame:
     """``(key, term, weight, source, freq)`` of paths; a term of folder and file name has the greater weight."""
-    each = rows.select(key, F.inline(path_words(column, shortest)))
+    each = rows.select(key, F.inline(path_words(column, shortest, stop)))
     counted = each.groupBy(key, "term").agg(F.max("weight").alias("weight"), F.count("*").alias("freq"))
     return counted.select(key, "term", "weight", F.when(F.col("weight") == 4, "path:filename").otherwise("path:dir").alias("source"), "freq")
 
 
-def markdown_terms(rows: DataFrame, key: str = "id", column: str = "content", shortest: int = MIN_LENGTH) -> DataFrame:
-    """``(key, term, weight, source, freq)`` of Markdown: headings weigh by level, the text without their lines 1."""
+def markdown_terms(rows: DataFrame, key: str = "id", column: str = "content", shortest: int = MIN_LENGTH, stop: list[str] = STOP) -> DataFrame:
+    """``(key, term, weight, source, freq)`` of Markdown: headings weigh by level, the text without their lines 1. Front matter gives none."""
 
     def run(batches):
         import pandas as pd
@@ -40,8 +42,8 @@ def markdown_terms(rows: DataFrame, key: str = "id", column: str = "content", sh
         for b in batches:
             out = []
             for k, text in zip(b[key], b[column], strict=True):
-                text, rest, at = text or "", [], 0
-                for h in headings(text):
+                text, rest, at = frontmatter(text or "")[1], [], 0
+                for h in headings(text, nested=True):
                     out.append((k, h.text, HEADING_WEIGHTS[h.level], SOURCES[h.level]))
                     rest.append(text[at : h.start])
                     at = h.end
@@ -49,7 +51,7 @@ def markdown_terms(rows: DataFrame, key: str = "id", column: str = "content", sh
             yield pd.DataFrame(out, columns=[key, "text", "weight", "source"])
 
     parts = rows.select(key, column).mapInPandas(run, f"{key} string, text string, weight double, source string")
-    each = parts.select(key, F.explode(context_words("text", shortest)).alias("term"), "weight", "source")
+    each = parts.select(key, F.explode(context_words("text", shortest, stop)).alias("term"), "weight", "source")
     return each.groupBy(key, "term", "weight", "source").agg(F.count("*").alias("freq"))
 
 
@@ -60,10 +62,14 @@ def merge_terms(found: DataFrame, key: str = "id") -> DataFrame:
     return merged.select(key, "term", (-F.col("best.w")).alias("weight"), F.col("best.source").alias("source"), "freq")
 
 
-def rank_terms(merged: DataFrame, body_stats: DataFrame, count: int, key: str = "id") -> DataFrame:
-    """``(key, term, weight, source, freq, idf, score)``: freq times weight times context IDF; unknown terms drop out."""
-    known = merged.join(body_stats.select("term", "df"), "term").withColumn("idf", scoring.context_idf("df", count))
-    return known.withColumn("score", F.col("freq") * F.col("weight") * F.col("idf")).drop("df")
+def rank_terms(merged: DataFrame, body_stats: DataFrame, count: int, key: str = "id", language: str = "none") -> DataFrame:
+    """``(key, term, weight, source, freq, idf, score)``: freq times weight times context IDF; unknown terms drop out.
+
+    Terms stay as they are; their frequency is that of their stem in the language of the index.
+    """
+    stems = stem_column(merged.withColumn("__term", F.col("term")), "__term", language)
+    known = stems.join(body_stats.select(F.col("term").alias("__term"), "df"), "__term").withColumn("idf", scoring.context_idf("df", count))
+    return known.withColumn("score", F.col("freq") * F.col("weight") * F.col("idf")).drop("df", "__term")
 
 
 def build_query(ranked: list[tuple[str, float]], limit: int = TERMS) -> Expr | None:

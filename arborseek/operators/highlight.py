@@ -109,13 +109,14 @@ def merged(ranges: Column) -> Column:
     return F.aggregate(sort, F.array().cast(f"array<{RANGE}>"), step)
 
 
-def lines_of_ranges(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, str]]:
-    """``(number, line)`` of the lines that overlap one of the byte ranges, numbered from 1."""
+def lines_of_ranges(text: str, ranges: list[tuple[int, int]], inner: bool = False) -> list[tuple]:
+    """``(number, line)`` of the lines that overlap one of the byte ranges, numbered from 1; with ``inner`` their parts of the ranges too."""
     out, at = [], 0
     for n, line in enumerate(text.split("\n"), 1):
         size = len(line.encode())
-        if any(o < at + size and o + length > at for o, length in ranges):
-            out.append((n, line))
+        own = [(max(o, at) - at, min(o + length, at + size) - max(o, at)) for o, length in ranges if o < at + size and o + length > at]
+        if own:
+            out.append((n, line, own) if inner else (n, line))
         at += size + 1
     return out
 

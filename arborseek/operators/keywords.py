@@ -121,7 +121,7 @@ def yake(text: str, longest: int = 3) -> list[tuple[str, float]]:
 
 def _ranked(scores: dict[str, float]) -> list[tuple[str, float]]:
     # rounded, so that sums of the same numbers in another order rank alike
-    return sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))
+    return sorted(((t, round(s, 9)) for t, s in scores.items()), key=lambda x: (-x[1], x[0]))
 
 
 EXTRACTORS: dict[str, Callable[[str], list[tuple[str, float]]]] = {"rake": rake, "textrank": textrank, "yake": yake}

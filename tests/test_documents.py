@@ -8,7 +8,7 @@ from arborseek.config import Rule, effective_trees, glob_regex, load_config, mat
 from arborseek.functions.text import slug
 from arborseek.sources.files import discover, read_spans
 
-SLUGS = {"The Result<T> Type!": "the-resultt-type", "Overview": "overview", "!@#$%^&*()": "heading", "Hello  --  World": "hello-world", "my_function_name": "my_function_name", "Héllo Wörld": "hllo-wrld", "": "heading", "---": "heading", "C++ Programming": "c-programming"}
+SLUGS = {"Map<K, V> at a glance?": "mapk-v-at-a-glance", "Kettles": "kettles", "?!,;": "heading", "Tea -- and   - Milk": "tea-and-milk", "snake_case stays": "snake_case-stays", "Crème Brûlée": "crme-brle", "": "heading", " - ": "heading", "F# & G": "f-g", "日本": "heading", "2 Kettles": "2-kettles"}
 
 
 def test_slugs(spark):
@@ -19,25 +19,39 @@ def test_slugs(spark):
 
 @pytest.mark.parametrize(
     ("text", "count"),
-    [("Preamble text.\n\n# Section 1\n\nContent 1.\n\n# Section 2\n\nContent 2.", 3), ("# H1\n# H2\n# H3", 1), ("", 1), ("# Intro\n\nx\n\n# Setup\n\nx\n\n# Intro\n\nx", 4)],
+    [("Before all.\n\n## Kettle\n\nIt boils.\n\n# Teapot\n\nIt waits.\n\n## Lid", 3), ("## Kettle\n### Lid\n# Teapot", 2), ("# Kettle\n# Lid\n# Teapot", 1), (" \n", 1), ("# Tea\n\na\n\n# Tea\n\nb\n\n# Tea\n\nc\n\n## Milk\n\nd", 5)],
 )
 def test_node_counts(text, count):
     assert len(chunk_markdown(text, "a.md", "t")) == count
 
 
 def test_spans_and_parents():
-    root = tree_of("# H1\n\nH1 body\n\n# H2\n\nH2 body", "t")
-    text = "# H1\n\nH1 body\n\n# H2\n\nH2 body"
-    assert [text[c.start : c.end] for c in root.children] == ["H1 body\n\n", "H2 body"]
-    rows = chunk_markdown("# H1\n\nH1 content.\n\n### H3\n\nH3 é content.", "doc.md", "docs")
-    assert [(r["id"], r["parent_id"], r["depth"], r["hierarchy"]) for r in rows] == [
-        ("docs:doc.md", None, 0, ["H1"]),
-        ("docs:doc.md#h1", "docs:doc.md", 1, ["H1"]),
-        ("docs:doc.md#h3", "docs:doc.md#h1", 3, ["H1", "H3"]),
+    text = "# Kettle\n\nIt böils.\n\n## Lid\n\nIt rattles.\n\n# Teapot\n\nIt waits."
+    root = tree_of(text, "t")
+    assert [text[c.start : c.end] for c in root.children] == ["It böils.\n\n## Lid\n\nIt rattles.\n\n", "It waits."]
+    rows = chunk_markdown(text, "tea/pot.md", "home")
+    assert [(r["id"], r["parent_id"], r["depth"], r["hierarchy"], r["sibling_count"]) for r in rows] == [
+        ("home:tea/pot.md", None, 0, ["Kettle"], 1),
+        ("home:tea/pot.md#kettle", "home:tea/pot.md", 1, ["Kettle"], 2),
+        ("home:tea/pot.md#lid", "home:tea/pot.md#kettle", 2, ["Kettle", "Lid"], 1),
+        ("home:tea/pot.md#teapot", "home:tea/pot.md", 1, ["Kettle", "Teapot"], 2),
     ]
-    assert [r["body"] for r in rows] == ["", "H1 content.\n\n", "H3 é content."]
-    slugs = [r["id"].partition("#")[2] for r in chunk_markdown("\n\n".join(f"# {t}\n\nx" for t in ["Intro", "Setup", "Intro", "Setup", "Intro"]), "a.md", "t")]
-    assert slugs == ["", "intro", "setup", "intro-1", "setup-1", "intro-2"]
+    assert [r["body"] for r in rows] == ["", "It böils.\n\n", "It rattles.\n\n", "It waits."]
+    raw = text.encode()
+    assert [raw[r["byte_start"] : r["byte_end"]].decode() for r in rows[1:]] == ["It böils.\n\n## Lid\n\nIt rattles.\n\n", "It rattles.\n\n", "It waits."]
+    slugs = [r["id"].partition("#")[2] for r in chunk_markdown("\n\n".join(f"## {t}\n\nx" for t in ["Tea", "Milk", "Milk", "Tea", "Milk"]), "a.md", "t")]
+    assert slugs == ["", "tea", "milk", "milk-1", "tea-1", "milk-2"]
+
+
+def test_headings_of_quotes_are_sections():
+    rows = chunk_markdown("> # Said\n> words\n\n- ## Listed\n  more\n", "a.md", "t")
+    assert [(r["id"], r["hierarchy"]) for r in rows[1:]] == [("t:a.md#said", ["Said"]), ("t:a.md#listed", ["Said", "Listed"])]
+
+
+def test_large_files_come_out_alone(spark):
+    text = "# A\n\n" + "x" * 9_000_000
+    files = spark.createDataFrame([("t", f"{i}.md", text.encode()) for i in range(4)] + [("t", "none.md", None), ("t", "empty.md", b"")], "tree string, path string, content binary")
+    assert chunk_documents(files).groupBy("depth").count().orderBy("depth").collect() == [(0, 6), (1, 4)]
 
 
 @pytest.mark.parametrize(
@@ -97,6 +111,10 @@ def test_config_and_discovery(spark, tmp_path):
     assert [r.terms for r in c.rules] == [["inner"], ["outer"]]
     assert validate(c) == ["tree docs: pattern *.none matches nothing"]
     assert load_config(work).hash() != c.hash()
+    (tmp_path / "again").mkdir()
+    (tmp_path / "again" / ".arborseek.toml").write_text("root = true\n" + c.to_toml())
+    again = load_config(tmp_path / "again")
+    assert (again.settings, [(t.name, t.path, t.include, t.exclude) for t in again.trees], again.rules) == (c.settings, [(t.name, t.path, t.include, t.exclude) for t in c.trees], c.rules)
     files = discover(spark, c.trees[:1])
     assert sorted(r["path"] for r in files.select("path").collect()) == ["a.md", "bad.md", "sub.d/b.txt"]
     rows = chunk_documents(files)

@@ -9,6 +9,7 @@ from arborseek.cli import main, parser, show
 from arborseek.config import Config, Rule, Tree
 from arborseek.operators.changes import Ledger
 from arborseek.operators.highlight import lines_of_ranges
+from arborseek.query.ast import leaf_terms
 from arborseek.query.compiler import CompileError, Compiler
 from arborseek.query.parser import parse
 from arborseek.streaming.ingest import chunk_stream, ingest
@@ -210,3 +211,28 @@ def test_command_line(tmp_path, monkeypatch, capsys):
     assert main(["config"]) == 0 and main(["ls", "trees"]) == 0
     assert show([], "full") == "No results found."
     assert parser().parse_args(["search", "a", "b", "-t", "x"]).trees == ["x"]
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/tea_kettle-lid.md").write_text("# Kettle\n\nThe kettle boils water. Water boils.")
+    assert main(["inspect", "ctx", "src/tea_kettle-lid.md"]) == 0
+    assert capsys.readouterr().out.splitlines()[-3] == "path terms: tea, kettle, lid"
+
+
+def test_shown_results(engine):
+    rows = engine.search("ownership", cutoff_ratio=0.0).collect()
+    assert show(rows, "matches").splitlines()[-2:] == ["Ownership keeps memory safe without a collector.", "Ownership also helps threads share memory."]
+    painted = show(rows, "full", color=True)
+    assert painted.count("\x1b[1;33mOwnership\x1b[0m") == 2
+    assert "[aggregated: 2 matches]" in show(rows, "list", verbose=1) and show(rows, "list", verbose=1).splitlines()[-1].startswith("1 results, ")
+    assert show(rows, "list").count("\n") == 0
+
+
+def test_long_chunks_and_stopwords_of_a_file(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/a.md").write_text("---\nmetakey: 1\n---\n# Kettle\n\n" + "zebra kettle " * 20)
+    (tmp_path / "stop.txt").write_text("Zebra\n")
+    config = Config(trees=[Tree("t", str(tmp_path / "docs"))])
+    config.settings |= {"max_chunk_size": 100, "stopwords_file": str(tmp_path / "stop.txt")}
+    engine = Engine(spark, str(tmp_path / "index"), config)
+    assert engine.index()["oversized"] == 1
+    e, _ = engine.context_query([("x.md", "---\nmetakey: 1\n---\n# Kettle\n\nzebra kettle")], "tfidf")
+    assert leaf_terms(e) == ["kettle"]

@@ -31,3 +31,23 @@ def test_spans():
 
 def test_plain_inline():
     assert plain_inline("![img](x) <b>bold</b> **s** _e_ snake_case_x `c*d*` <https://a.example>") == "img bold s e snake_case_x c*d* https://a.example"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("> # Quoted\n> text\n", [(1, "Quoted", 2)]),
+        ("- # In item\n  body\n\n  ## Deeper\n", [(1, "In item", 2), (2, "Deeper", 22)]),
+        ("> - ### Both\n", [(3, "Both", 4)]),
+        ("> Title\n> ===\n", [(1, "Title", 2)]),
+        ("> Title\n===\n", []),
+        ("- ```\n  # code\n  ```\n# Out\n", [(1, "Out", 21)]),
+        ("1. a\n\n       # code of the item\n", []),
+        ("* * *\n# After a rule\n", [(1, "After a rule", 6)]),
+        ("- a\n# Ends the list\n", [(1, "Ends the list", 4)]),
+        ("    > # indented code\n", []),
+    ],
+)
+def test_headings_in_quotes_and_items(text, found):
+    assert [(h.level, h.text, h.start) for h in headings(text, nested=True)] == found
+    assert all(text[h.start : h.end].strip() for h in headings(text, nested=True))

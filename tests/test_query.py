@@ -69,6 +69,20 @@ def test_stem(word, expected):
     assert stem(word) == expected
 
 
+@pytest.mark.parametrize(
+    ("language", "pairs"),
+    [
+        ("german", "aufeinander aufeinand kategorie kategori kategorisch kategor katers kat häuser haus laufen lauf möglichkeit moglich bedürfnissen bedurfnis größe gross freundlichkeit freundlich"),
+        ("spanish", "cheque chequ chicas chic torneado torn torniquetes torniquet tortuga tortug chilenos chilen totalmente total torrenciales torrencial rápidamente rapid comprándolo compr"),
+        ("french", "continua continu continuait continu continuation continu continuellement continuel majestueusement majestu majesté majest majeur majeur maintenaient mainten contentement content constamment const"),
+    ],
+)
+def test_published_vocabularies(language, pairs):
+    words = pairs.split()
+    assert [stemmer(language)(w) for w in words[::2]] == words[1::2]
+    assert [stemmer(language)(w) for w in ("", "a", "é", "ß", "y" * 30)]
+
+
 def test_languages():
     assert stemmer("None")("x") == "x"
     with pytest.raises(ValueError):
