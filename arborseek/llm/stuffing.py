@@ -47,12 +47,13 @@ _URL = re.compile(r"\b(?:https?|ftp)://[^\s<>()\[\]\"']+|\bwww\.[^\s<>()\[\]\"']
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*[^()]*\)|\[\[([^\[\]]*)\]\]|\[((?:https?|ftp)://[^\s\[\]]+[^\[\]]*)\]|<a\s[^<>]*>(.*?)</a>|<((?:https?|mailto):[^<>\s]*)>", re.I)
 _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
-_LOG = re.compile(r"\s*\[?\d{4}-\d\d-\d\d[T ]|\s*\[?\d\d:\d\d:\d\d|.*\b(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|TRACE)\b")
+_STAMP = re.compile(r"\s*\[?(?:\d{4}-\d\d-\d\d[T ]|\d\d:\d\d:\d\d)")
+_LEVEL = re.compile(r"\b(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|TRACE)\b")
 _HASHTAG = re.compile(r"(?<!\S)#[^\W_][\w-]*")
 _ITEM = re.compile(r"\s*[,;|·•/、]\s*")
 _BULLET = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+")
 _HEADING = re.compile(r"\s{0,3}#{1,6}\s")
-_END = re.compile(r"[.!?…。！？:：][\"'”’»)\]*_]*\s*$")
+_ENDS, _CLOSERS = frozenset(".!?…。！？:："), "\"'”’»)]*_"
 
 
 def _links_only(line: str) -> tuple[int, int]:
@@ -77,6 +78,21 @@ def _words(line: str, linked: bool) -> list[str]:
     return _WORD.findall(_TAG.sub(" ", _URL.sub(" ", shown)).lower())
 
 
+def _ended(line: str) -> bool:
+    """Whether a line ends like a sentence, closing quotes and marks aside."""
+    return line.rstrip().rstrip(_CLOSERS)[-1:] in _ENDS if line else False
+
+
+def _shaped(line: str) -> bool:
+    """Whether a line is a heading, a row of a table or of a log."""
+    start = line.lstrip()[:1]
+    if start == "|":
+        return True
+    if start == "#" and _HEADING.match(line):
+        return True
+    return bool((start.isdigit() or start == "[") and _STAMP.match(line) or not line.islower() and _LEVEL.search(line))
+
+
 def _linked(line: str) -> bool:
     return "://" in line or "[[" in line or "www." in line or "](" in line or "<a " in line
 
@@ -132,7 +148,7 @@ class Page:
     def __init__(self, text: str):
         lines, fence = [], None
         for line in _lines(text):
-            mark = _FENCE.match(line)
+            mark = _FENCE.match(line) if "```" in line or "~~~" in line else None
             if fence:
                 fence = None if mark and mark[1].startswith(fence) else fence
                 kind = "code"
@@ -151,8 +167,8 @@ class Page:
             linked = _linked(line)
             inside, outside = _links_only(line) if linked else (0, 0)
             words = _words(line, linked)
-            varied = len(set(words)) >= VARIED * len(words) and _END.search(line)
-            shaped = _HEADING.match(line) or line.lstrip().startswith("|") or _LOG.match(line)
+            varied = len(set(words)) >= VARIED * len(words) and _ended(line)
+            shaped = _shaped(line)
             read.append((kind, line, words, inside, outside, linked, varied, shaped))
             self.total += max(len(words), inside + outside)
             if not kind:
@@ -178,13 +194,13 @@ class Page:
                 self.links += 1
                 continue
             stripped = line.strip()
-            if _HASHTAG.search(line) and len(_HASHTAG.findall(line)) * 5 >= len(stripped.split()) * 3:
+            if "#" in line and _HASHTAG.search(line) and len(_HASHTAG.findall(line)) * 5 >= len(stripped.split()) * 3:
                 self.sure += count
                 continue
-            if shaped or _TAG.sub("", stripped) == "":
+            if shaped or "<" in stripped and _TAG.sub("", stripped) == "":
                 continue
-            if not _END.search(_URL.sub("", stripped)):
-                items = [x for x in _ITEM.split(_TAG.sub(" ", _URL.sub(" ", stripped))) if x.strip()]
+            if not _ended(_URL.sub("", stripped) if linked else stripped):
+                items = [x for x in _ITEM.split(_TAG.sub(" ", _URL.sub(" ", stripped) if linked else stripped)) if x.strip()]
                 if len(items) >= 3 and len(words) <= 2.6 * len(items) + 2 * (len(items) > 3):
                     self.sure += count
                 elif len(words) >= SHINGLE:
