@@ -161,19 +161,19 @@ def roll_up(rows: list[tuple], known: dict[str, tuple[str | None, int]], thresho
     return list(results.values())
 
 
+FOLDED_COLUMNS = ("id", "doc_id", "tree", "score", "is_aggregated", "constituents", "rank_in")
 FOLDED = "id string, doc_id string, tree string, score double, is_aggregated boolean, constituents array<struct<id:string,score:double>>, rank_in long"
 
 
-def ancestors(cands: DataFrame, chunks: DataFrame) -> dict[str, tuple[str | None, int]]:
-    """``id: (parent_id, sibling_count)`` of all chunks above the candidates, one level of the tree a round until none is left.
+def ancestors(parents: set[str], chunks: DataFrame) -> dict[str, tuple[str | None, int]]:
+    """``id: (parent_id, sibling_count)`` of the chunks named and of all above them, one level of the tree a round until none is left.
 
     Each level has at most as many rows as there are candidates, whatever the documents' size, and is looked up by id;
     an id that was seen is not looked up again, so links in a circle end too.
     """
     known: dict[str, tuple[str | None, int]] = {}
     slim = chunks.select("id", "parent_id", "sibling_count")
-    level = {r["parent_id"] for r in cands.where("parent_id is not null").select("parent_id").distinct().collect()}
-    seen: set[str] = set()
+    level, seen = set(parents), set()
     while level:
         seen |= level
         rows = slim.where(among("id", list(level))).collect()
@@ -182,31 +182,37 @@ def ancestors(cands: DataFrame, chunks: DataFrame) -> dict[str, tuple[str | None
     return known
 
 
+def _fold_document(doc: str, rows: list[tuple], known: dict[str, tuple[str | None, int]], threshold: float) -> list[tuple]:
+    """Results of one document's candidates ``(id, doc_id, tree, parent_id, sibling_count, score, rank_in)`` as rows of FOLDED."""
+    given = [(id, parent, int(siblings or 0), score, rank) for id, _, _, parent, siblings, score, rank in sorted(rows, key=lambda r: r[6])]
+    made = roll_up(given, known, threshold)
+    return [(e.id, doc, rows[0][2], e.score(), e.parts is not None, [(i, s) for i, s in e.parts] if e.parts is not None else [], e.rank) for e in made]
+
+
 def fold(cands: DataFrame, chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Results after roll-up, renumbered: by score, then by the candidate that completed them.
 
-    Candidates of one document only meet each other, and there are at most as many as the candidate limit.
+    Candidates of one document only meet each other. There are as many as the candidate limit: up to EXPANDED, as for
+    any page of results, they are rolled up where the query was asked; more are grouped by document and rolled up there.
     """
-    rows = written(cands.select("id", "doc_id", "tree", "parent_id", "sibling_count", "score", "rank_in"), "candidates")
-    known = ancestors(rows, chunks)
-
-    def one(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("rank_in")
-        given = [(r.id, r.parent_id if isinstance(r.parent_id, str) else None, int(r.sibling_count) if pd.notna(r.sibling_count) else 0, r.score, r.rank_in) for r in left.itertuples()]
-        made = roll_up(given, known, threshold)
-        return pd.DataFrame(
-            {
-                "id": [e.id for e in made],
-                "doc_id": key[0],
-                "tree": left["tree"].iloc[0],
-                "score": [e.score() for e in made],
-                "is_aggregated": [e.parts is not None for e in made],
-                "constituents": [[{"id": i, "score": s} for i, s in e.parts] if e.parts is not None else [] for e in made],
-                "rank_in": [e.rank for e in made],
-            }
-        )
+    spark = chunks.sparkSession
+    rows = cands.select("id", "doc_id", "tree", "parent_id", "sibling_count", "score", F.col("rank_in").cast("long").alias("rank_in"))
+    few = rows.limit(EXPANDED + 1).collect()
+    if len(few) <= EXPANDED:
+        known = ancestors({r["parent_id"] for r in few if r["parent_id"] is not None}, chunks)
+        docs: dict[str, list[tuple]] = {}
+        for r in few:
+            docs.setdefault(r["doc_id"], []).append(tuple(r))
+        folded = spark.createDataFrame([x for doc, part in docs.items() for x in _fold_document(doc, part, known, threshold)], FOLDED)
+    else:
+        rows = written(rows, "candidates")
+        known = ancestors({r["parent_id"] for r in rows.where("parent_id is not null").select("parent_id").distinct().collect()}, chunks)
+
+        def one(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
+            left = left.astype(object).where(left.notna(), None)
+            return pd.DataFrame(_fold_document(key[0], [tuple(r) for r in left.itertuples(index=False)], known, threshold), columns=list(FOLDED_COLUMNS))
 
-    folded = rows.groupBy("doc_id").applyInPandas(one, FOLDED)
+        folded = rows.groupBy("doc_id").applyInPandas(one, FOLDED)
     return folded.withColumn("rank_in", F.row_number().over(Window.orderBy(F.desc("score"), "rank_in")))
 
 

@@ -104,6 +104,32 @@ def hier_fold(spark, folder):
     return ranking.fold(cands, index.chunks).select("id", "doc_id", F.round("score", 5).alias("score"), "is_aggregated", F.size("constituents").alias("constituents"))
 
 
+# cases of the roll-up: candidates (case, slug, parent's slug, sibling count, score) in rank order, "" the document, and inner nodes
+FOLD_CASES = (
+    ("two of two", [("lid", "", 2, 3.0), ("spout", "", 2, 4.0)], {"": (None, 1)}),
+    ("two of nine", [("lid", "", 9, 3.0), ("spout", "", 9, 4.0)], {"": (None, 1)}),
+    ("below a result", [("", None, 1, 9.0), ("lid", "", 2, 3.0), ("spout", "", 2, 4.0)], {"": (None, 1)}),
+    ("parent unknown", [("lid", "", 2, 3.0), ("spout", "", 2, 4.0)], {}),
+    ("two levels", [("a-x", "a", 2, 2.0), ("a-y", "a", 2, 2.0), ("b-x", "b", 2, 2.0), ("b-y", "b", 2, 2.0)], {"": (None, 1), "a": ("", 2), "b": ("", 2)}),
+    ("above comes late", [("a-x", "a", 3, 6.0), ("a-y", "a", 3, 8.0), ("", None, 1, 1.0)], {}),
+    ("only one level", [("a-x", "a", 2, 6.0), ("a-y", "a", 2, 8.0), ("b-x", "b", 2, 1.0)], {"": (None, 1), "a": ("", 9), "b": ("", 9)}),
+)
+
+
+def fold_cases(spark, folder):
+    """Roll-up of fixed cases: merged, below the threshold, claimed, without parent, over two levels, from above."""
+    name = lambda case, slug: case if not slug else f"{case}#{slug}"
+    above = lambda case, parent: None if parent is None else name(case, parent)
+    cands = [(name(c, s), c, "t", above(c, p), n, score, i) for c, rows, _ in FOLD_CASES for i, (s, p, n, score) in enumerate(rows, 1)]
+    nodes = [(name(c, s), above(c, p), n) for c, _, known in FOLD_CASES for s, (p, n) in known.items()]
+    found = ranking.fold(
+        spark.createDataFrame(cands, "id string, doc_id string, tree string, parent_id string, sibling_count int, score double, rank_in int"),
+        spark.createDataFrame(nodes, "id string, parent_id string, sibling_count int"),
+        0.5,
+    )
+    return found.select("id", F.round("score", 6).alias("score"), "is_aggregated", F.size("constituents").alias("constituents"))
+
+
 def search(spark, folder, query="cache OR heading", **kw):
     index = _index(spark, folder)
     found = Compiler(index).run(parse(query))
@@ -220,6 +246,7 @@ QUERIES = {
     "elbow_cutoff": elbow_cutoff,
     "sibling_rss": sibling_rss,
     "hier_fold": hier_fold,
+    "fold_cases": fold_cases,
     "search": search,
     "search_in_tree": search_in_tree,
     "flat_stats": flat_stats,
@@ -328,6 +355,9 @@ SELECT source, id, score FROM sums QUALIFY row_number() OVER (PARTITION BY sourc
 each AS (SELECT id, unnest(t) AS t, unnest(range(len(t))) AS i FROM parts),
 placed AS (SELECT id, t, coalesce(sum(strlen(t)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot FROM each)
 SELECT id, spot AS "offset", strlen(t) AS length FROM placed WHERE lower(t) IN ('cache', 'heading')""",
+    "fold_cases": """SELECT * FROM (VALUES ('two of two', 5.0::DOUBLE, true, 2), ('two of nine#lid', 3.0, false, 0), ('two of nine#spout', 4.0, false, 0), ('below a result', 9.0, false, 0),
+  ('parent unknown#lid', 3.0, false, 0), ('parent unknown#spout', 4.0, false, 0), ('two levels', 4.0, true, 4), ('above comes late', 10.0, true, 2),
+  ('only one level#a', 10.0, true, 2), ('only one level#b-x', 1.0, false, 0)) AS t(id, score, is_aggregated, constituents)""",
     "similar_terms": TOKENS + _SOURCE.replace("{stop}", _STOP) + "SELECT field, term, round(weight, 6) AS weight FROM weights",
     "batched_terms": TOKENS
     + """SELECT term, id, round(s, 5) AS score FROM scored WHERE field = 'body' QUALIFY row_number() OVER (PARTITION BY term ORDER BY round(s, 5) DESC, id) = 1""",

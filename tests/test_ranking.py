@@ -71,3 +71,20 @@ def test_normalize(spark, rows, count, expected):
     df = spark.createDataFrame([(i + 1, t, float(s)) for i, (t, s) in enumerate(rows)], "rank_in int, tree string, score double")
     got = [x["score"] for x in r.normalize(df, count).orderBy("rank_in").collect()]
     assert got == pytest.approx(expected)
+
+
+CANDS = "id string, doc_id string, tree string, parent_id string, sibling_count int, score double, rank_in int"
+NODES = "id string, parent_id string, sibling_count int"
+
+
+@pytest.mark.parametrize("expanded", [20_000, 0])
+def test_fold_here_and_there(spark, monkeypatch, expanded):
+    monkeypatch.setattr(r, "EXPANDED", expanded)
+    # a chain of twelve levels, the last with two children; a circle; a parent that is missing
+    chain = [("d", None, 1), *((f"d#{i}", "d" if i == 0 else f"d#{i - 1}", 2) for i in range(12)), ("d#a", "d#11", 2), ("d#b", "d#11", 2)]
+    nodes = spark.createDataFrame([*chain, ("x#1", "x#2", 2), ("x#2", "x#1", 2)], NODES)
+    rows = [("d#a", "d", "t", "d#11", 2, 3.0, 1), ("d#b", "d", "t", "d#11", 2, 4.0, 2), ("x#1", "x", "t", "x#2", 2, 2.0, 3), ("y#1", "y", None, "y", None, 1.0, 4), ("y#2", "y", None, "y", 2, 0.5, 5)]
+    got = [(x["id"], x["score"], len(x["constituents"]), x["rank_in"]) for x in r.fold(spark.createDataFrame(rows, CANDS), nodes, 0.5).orderBy("rank_in").collect()]
+    assert got == [("d#11", 5.0, 2, 1), ("x#1", 2.0, 0, 2), ("y#1", 1.0, 0, 3), ("y#2", 0.5, 0, 4)]
+    assert set(r.ancestors({"d#11", "x#2", "y"}, nodes)) == {i for i, _, _ in chain[:13]} | {"x#1", "x#2"}
+    assert r.fold(spark.createDataFrame([], CANDS), nodes).count() == 0
