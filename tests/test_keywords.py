@@ -71,9 +71,14 @@ def test_snippets():
     assert h.snippet_of("none", {"fox": 1.0}) == ""
 
 
-def test_current_rows(spark):
+@pytest.mark.parametrize("most", [200_000, 1])
+def test_current_rows(spark, monkeypatch, most):
     from datetime import datetime as D
 
+    from arborseek.operators import current
+
+    monkeypatch.setattr(current, "REPEATED", most)
+
     t = [D(2025, 1, i) for i in (1, 2)]
     rows = [("a", t[0], "x", None, None), ("a", t[1], None, ["q"], None), ("a", t[1], None, ["q"], None), ("b", None, "y", None, None), ("c", None, "z1", None, None), ("c", None, "z2", None, None), (None, t[0], "n", None, None)]
     df = spark.createDataFrame(rows, "id string, mtime timestamp, body string, tags array<string>, hierarchy array<string>")
