@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborseek.operators.current import current_rows
+from arborseek.operators.current import newest_rows
 
 FAMILIES = ("html", "latex", "wiki", "markdown")
 
@@ -498,4 +498,4 @@ def read(chunks: DataFrame, with_text: bool = False) -> DataFrame:
     none = F.array().cast("array<string>")
     same = [F.col("body").alias("clean_body"), F.col("hierarchy").alias("clean_hierarchy")] if with_text else []
     rest = cast.where("not odd").select("id", "mtime", "tie", *[none.alias(k) for k in kinds], *same)
-    return current_rows(done.unionByName(rest), *kinds, *texts, tie=("tie",))
+    return newest_rows(done.unionByName(rest), *kinds, *texts, tie=("tie",))
