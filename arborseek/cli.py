@@ -10,6 +10,7 @@ from arborseek.api import Engine
 from arborseek.chunking import chunk_file
 from arborseek.config import BINARY, load_config, match_rules, validate
 from arborseek.functions.terms import telling_path_words
+from arborseek.functions.text import parse_id
 from arborseek.operators.highlight import lines_of_ranges, painted
 from arborseek.operators.keywords import EXTRACTORS
 from arborseek.query.ast import to_query
@@ -154,7 +155,7 @@ def main(argv: list[str] | None = None) -> int:
                 print(to_query(e) if e else "", matched.terms, matched.trees, matched.include)
                 return 0
             results = engine.context(files, a.algorithm, **given)
-        elif ":" in a.source and not Path(a.source).is_file():
+        elif parse_id(a.source) and not Path(a.source).is_file():
             if a.explain:
                 for r in engine.explain_like_this(a.source).collect():
                     print(f"{r['field']}:{r['term']}  df {r['df']}  weight {r['weight']:.3f}  score {r['score']:.3f}")

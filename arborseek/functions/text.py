@@ -33,6 +33,15 @@ def slug(title: Column | str) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(dashed, r"^-|-$", ""), F.lit("")), F.lit("heading"))
 
 
+def parse_id(text: str) -> tuple[str, str, str | None] | None:
+    """``(tree, path, slug)`` of a chunk's id; None for what is none, as a path of a file with a drive letter."""
+    tree, colon, rest = text.partition(":")
+    if not (tree and colon and rest) or (len(tree) == 1 and rest[0] in "\\/"):
+        return None
+    path, mark, name = rest.partition("#")
+    return tree, path, name if mark else None
+
+
 def breadcrumb(hierarchy: Column | str) -> Column:
     return F.array_join(_col(hierarchy), " > ")
 

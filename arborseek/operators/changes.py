@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from arborseek.session import written
 
 
+COMPACT = 64  # runs whose pairs lie in folders of their own at most
+
+
 def clean_path(path: Column | str) -> Column:
     """A relative path with single forward slashes and without dot segments.
 
@@ -132,7 +135,7 @@ class Ledger:
     folder; only pairs with a marker count. A marker is written whole under another name and renamed, and is final:
     nothing deletes or replaces it. A crash before the rename leaves pairs that nobody reads, and the rerun finds the
     same records unprocessed; after it the run is committed, and committing it again does nothing. One run at a time
-    commits. :meth:`compact` brings the pairs of all runs into one folder.
+    commits. :meth:`compact` brings the pairs of all runs into one folder; ``run_once`` does so every COMPACT runs.
 
     Transactions of the source that are open are told by :meth:`begin` and :meth:`end`; a run records the start of
     the oldest of them, and :meth:`since` gives it to the next run.
@@ -168,10 +171,12 @@ class Ledger:
             raise OSError(f"could not put {name}")
 
     def _marks(self) -> list[dict]:
-        """Markers in force, in the order of their commits; those a compaction took in are left out."""
-        marks = sorted((self._read(f"runs/{n}") | {"name": n} for n in self._names("runs")), key=lambda m: m["place"])
-        gone = {n for m in marks for n in m.get("replaces", ())}
-        return [m for m in marks if m["name"] not in gone]
+        """Markers in force, in the order of their commits; those a compaction took in are left out unread."""
+        names = self._names("runs")
+        known = {n: self._read(f"runs/{n}") | {"name": n} for n in names if n.startswith("compaction-")}
+        gone = {n for m in known.values() for n in m["replaces"]}
+        found = [known.get(n) or self._read(f"runs/{n}") | {"name": n} for n in names if n not in gone]
+        return sorted(found, key=lambda m: m["place"])
 
     @staticmethod
     def _name(run_id: int | str) -> str:
@@ -222,7 +227,7 @@ class Ledger:
         self._mark(self._name(run_id), target, open_from.isoformat() if open_from else None)
 
     def _mark(self, name: str, pairs: str, open_from: str | None, replaces: tuple[str, ...] = ()) -> None:
-        places = [self._read(f"runs/{n}")["place"] for n in self._names("runs")]
+        places = [m["place"] for m in self._marks()]
         self._put(f"runs/{name}", {"place": max(places, default=0) + 1, "pairs": pairs, "open_from": open_from, "replaces": list(replaces)})
 
     def compact(self) -> None:
@@ -246,6 +251,8 @@ def run_once(source: DataFrame, ledger: Ledger, run_id: int | str, process: Call
     if ledger.has(run_id):
         return False
     open_from = ledger.open_from(now)
+    if len(ledger._marks()) > COMPACT:
+        ledger.compact()
     new = written(unprocessed(source, ledger.pairs(), ledger.since() if stamp else None, stamp or "version"), "run")
     process(new, run_id)
     ledger.commit(run_id, new, open_from)

@@ -3,6 +3,7 @@ from datetime import datetime as D
 import pytest
 from pyspark.sql import functions as F
 
+from arborseek.operators import changes as module
 from arborseek.operators.changes import Ledger, changes, clean_path, document_changes, reread_from, run_once, unprocessed
 
 RUNS = "run_id long, started_at timestamp, finished_at timestamp, status string, n_files int"
@@ -169,6 +170,15 @@ def test_compaction_keeps_pairs_runs_and_bound(spark, tmp_path):
     assert ledger.pairs().count() == 5 and ledger.since() == D(2025, 1, 9)
 
 
+def test_runs_compact_the_ledger(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(module, "COMPACT", 2)
+    ledger, out = Ledger(spark, str(tmp_path)), {}
+    for i in range(6):
+        rows = spark.createDataFrame([(f"k{k}", D(2025, 1, 1)) for k in range(i + 1)], "key string, version timestamp")
+        run_once(rows, ledger, i, lambda new, run: out.update({run: [r["key"] for r in new.collect()]}), D(2025, 1, 1 + i))
+    assert out == {i: [f"k{i}"] for i in range(6)} and len(ledger._marks()) <= 3 and ledger.pairs().count() == 6 and ledger.since() == D(2025, 1, 6)
+
+
 def test_null_and_clashing_keys(spark):
     rows = spark.createDataFrame([("a", None, 1), (None, None, 2), ("b", D(2025, 1, 1), 3)], "key string, version timestamp, __fresh int")
     known = spark.createDataFrame([("a", None), ("c", None), (None, None)], "key string, version timestamp")

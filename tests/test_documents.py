@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from arborseek.chunking import chunk_documents, chunk_file, chunk_markdown, frontmatter, slugify, tree_of
 from arborseek.config import Rule, effective_trees, glob_regex, load_config, match_rules, matches, validate
-from arborseek.functions.text import slug
+from arborseek.functions.text import parse_id, slug
 from arborseek.sources.files import discover, read_spans
 
 SLUGS = {"Map<K, V> at a glance?": "mapk-v-at-a-glance", "Kettles": "kettles", "?!,;": "heading", "Tea -- and   - Milk": "tea-and-milk", "snake_case stays": "snake_case-stays", "Crème Brûlée": "crme-brle", "": "heading", " - ": "heading", "F# & G": "f-g", "日本": "heading", "2 Kettles": "2-kettles"}
@@ -70,6 +70,11 @@ def test_no_frontmatter(text):
     assert frontmatter(text) == (None, text)
 
 
+def test_ids():
+    assert parse_id("t:a/b.md#c-d") == ("t", "a/b.md", "c-d") and parse_id("t:a.md") == ("t", "a.md", None)
+    assert [parse_id(x) for x in ("C:\\a.md", "c:/a.md", "a.md", ":a", "t:", "")] == [None] * 6
+
+
 def test_errors_are_rows():
     assert chunk_file(b"\xff", "a.md", "t")[0]["error"].startswith("invalid UTF-8")
     assert chunk_file(b"x", "a.rs", "t")[0]["error"].startswith("unsupported")
