@@ -1,4 +1,4 @@
-"""Stemming of German, French and Spanish words by the published Snowball rules."""
+"""Stemming of words of other languages than English by the published Snowball rules."""
 
 from __future__ import annotations
 
@@ -275,3 +275,55 @@ class _French:
 
 def french(word: str) -> str:
     return _French(word).stem()
+
+
+# --- Danish, Norwegian, Swedish -------------------------------------------------------------------------------------
+
+# fixed values: the endings of the published algorithms
+_DA = "hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret"
+_NO = "a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast"
+_SV = (
+    "a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens "
+    "erns at andet het ast"
+)
+
+
+def danish(word: str) -> str:
+    vowels = "aeiouyæåø"
+    r1 = max(3, _after(word, vowels))
+
+    def shorter(w: str) -> str:
+        return w[:-1] if _longest(w, "gd dt gt kt", r1) else w
+
+    end, w = _longest(word, f"{_DA} s", r1), word
+    if end and (end != "s" or re.search("[abcdfghjklmnoprtvyzå]s$", w)):
+        w = w[: -len(end)]
+    w = shorter(w)
+    w = w[:-2] if w.endswith("igst") else w
+    end = _longest(w, "ig lig elig els løst", r1)
+    if end:
+        w = w[:-1] if end == "løst" else shorter(w[: -len(end)])
+    return w[:-1] if len(w) - 2 >= r1 and w[-1] == w[-2] and w[-1] not in vowels else w
+
+
+def norwegian(word: str) -> str:
+    vowels = "aeiouyæåø"
+    r1 = max(3, _after(word, vowels))
+    end, w = _longest(word, f"{_NO} s erte ert", r1), word
+    if end in ("erte", "ert"):
+        w = w[: -len(end)] + "er"
+    elif end and (end != "s" or re.search(f"(?:[bcdfghjlmnoprtvyz]|[^{vowels}]k)s$", w)):
+        w = w[: -len(end)]
+    w = w[:-1] if _longest(w, "dt vt", r1) else w
+    end = _longest(w, "leg eleg ig eig lig elig els lov elov slov hetslov", r1)
+    return w[: -len(end)] if end else w
+
+
+def swedish(word: str) -> str:
+    r1 = max(3, _after(word, "aeiouyåäö"))
+    end, w = _longest(word, f"{_SV} s", r1), word
+    if end and (end != "s" or re.search("[bcdfghjklmnoprtvy]s$", w)):
+        w = w[: -len(end)]
+    w = w[:-1] if _longest(w, "dd gd nn dt gt kt tt", r1) else w
+    end = _longest(w, "lig ig els löst fullt", r1)
+    return w if not end else w[:-1] if end in ("löst", "fullt") else w[: -len(end)]

@@ -1,4 +1,4 @@
-"""Stemming over distinct words only: English by the published Porter2 rules here, German, French and Spanish in ``snowball``."""
+"""Stemming over distinct words only: English by the published Porter2 rules here, other languages in ``snowball``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborseek.functions.snowball import french, german, spanish
+from arborseek.functions.snowball import danish, french, german, norwegian, spanish, swedish
 
 # fixed values: the exceptions and endings of the published algorithm
 _SPECIAL = {
@@ -25,7 +25,8 @@ _STEP3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "ici
 _STEP4 = ["ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic"]
 
 _V = "aeiouy"
-LANGUAGES = ("none", "english", "german", "french", "spanish")
+_STEMMERS = {"none": lambda w: w, "danish": danish, "french": french, "german": german, "norwegian": norwegian, "spanish": spanish, "swedish": swedish}
+LANGUAGES = (*_STEMMERS, "english")
 
 
 def _regions(w: str) -> tuple[int, int]:
@@ -109,7 +110,7 @@ def stemmer(language: str):
     name = language.lower()
     if name not in LANGUAGES:
         raise ValueError(f"unsupported stemmer language: {language}")
-    return {"none": lambda w: w, "english": stem, "german": german, "french": french, "spanish": spanish}[name]
+    return stem if name == "english" else _STEMMERS[name]
 
 
 def stem_column(df: DataFrame, column: str, language: str) -> DataFrame:

@@ -74,6 +74,9 @@ def test_stem(word, expected):
     [
         ("german", "aufeinander aufeinand kategorie kategori kategorisch kategor katers kat häuser haus laufen lauf möglichkeit moglich bedürfnissen bedurfnis größe gross freundlichkeit freundlich"),
         ("spanish", "cheque chequ chicas chic torneado torn torniquetes torniquet tortuga tortug chilenos chilen totalmente total torrenciales torrencial rápidamente rapid comprándolo compr"),
+        ("danish", "indtage indtag indtagelse indtag undersøgelse undersøg undersøgelsen undersøg hus hus"),
+        ("norwegian", "havnedistriktene havnedistrikt havnemyndighetene havnemynd havnemyndigheter havnemynd opning opning"),
+        ("swedish", "jakt jakt jakten jakt klokare klok kloka klok klokast klok klokheten klok"),
         ("french", "continua continu continuait continu continuation continu continuellement continuel majestueusement majestu majesté majest majeur majeur maintenaient mainten contentement content constamment const"),
     ],
 )
