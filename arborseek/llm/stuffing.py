@@ -239,7 +239,7 @@ def asked_for(wanted: DataFrame) -> bytes:
     place = F.shiftrightunsigned("shingle", 64 - FILTER_BITS) + 1
     parts = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     bits = bytearray(1 << (FILTER_BITS - 3))
-    for r in parts.toLocalIterator():
+    for r in parts.collect():  # at most as many as the bits have parts
         at = (r["bucket"] - 1) * len(r["bits"])
         bits[at : at + len(r["bits"])] = r["bits"]
     return bytes(bits)
