@@ -39,7 +39,8 @@ LINKS = 5  # lines of links and nothing else
 FILTER_BITS = 26  # the shingles asked for, as so many bits of their hashes: at most 8 MB, whatever the corpus
 REPEATED = (5, 0.08)  # a pair of neighbours is stuffed if it stands so often, and makes up this share of the words,
 COVERED = 0.5  # or if all pairs that stand so often outside of sentences, headings, tables and logs cover this share
-VARIED = 0.4  # share of different words from which a punctuated line is a sentence, whatever pairs it repeats
+VARIED = 0.4  # share of different words from which a punctuated line is a sentence, whatever pairs it repeats,
+SENTENCE = (7, 0.75)  # or if half of it are sentences of so many different words, and such a share of different ones
 
 _LINE = re.compile(r"\r\n|\r|\n")
 _FENCE = re.compile(r"\s*(`{3,}|~{3,})")
@@ -53,6 +54,7 @@ _HASHTAG = re.compile(r"(?<!\S)#[^\W_][\w-]*")
 _ITEM = re.compile(r"\s*[,;|·•/、]\s*")
 _BULLET = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s+")
 _HEADING = re.compile(r"\s{0,3}#{1,6}\s")
+_STOP = re.compile(r"[.!?…。！？]+(?=\s|$)|[。！？]")
 _ENDS, _CLOSERS = frozenset(".!?…。！？:："), "\"'”’»)]*_"
 
 
@@ -83,6 +85,16 @@ def _ended(line: str) -> bool:
     return line.rstrip().rstrip(_CLOSERS)[-1:] in _ENDS if line else False
 
 
+def _sentences(line: str, count: int) -> bool:
+    """Whether at least half of a line's ``count`` words stand in sentences that hardly repeat a word, however often these are repeated."""
+    told = 0
+    for part in _STOP.split(line):
+        words = _WORD.findall(part.lower())
+        if len(different := set(words)) >= SENTENCE[0] and len(different) >= SENTENCE[1] * len(words):
+            told += len(words)
+    return told * 2 >= count
+
+
 def _shaped(line: str) -> bool:
     """Whether a line is a heading, a row of a table or of a log."""
     start = line.lstrip()[:1]
@@ -167,7 +179,7 @@ class Page:
             linked = _linked(line)
             inside, outside = _links_only(line) if linked else (0, 0)
             words = _words(line, linked)
-            varied = len(set(words)) >= VARIED * len(words) and _ended(line)
+            varied = _ended(line) and (len(set(words)) >= VARIED * len(words) or _sentences(line, len(words)))
             shaped = _shaped(line)
             read.append((kind, line, words, inside, outside, linked, varied, shaped))
             self.total += max(len(words), inside + outside)

@@ -32,6 +32,7 @@ PLAIN = {
     "code": "```python\n" + "\n".join(f'{n} = load("{n}", limit=3)' for n in NAMES * 3) + "\n```",
     "awesome": "\n".join(f"- [{n}](https://{n}.example) - A {n} that every house in the valley should have." for n in NAMES),
     "chinese": "设置决定是否保留章节。如果查询超过条，就应当比较模板。\n\n本节说明如何合并日志以及日志为什么重要。",
+    "one sentence again": " ".join(f"After the note {n}, the key of the {a} stayed unfinished until the change came." for n, a in enumerate(NAMES[:6] * 2)),
     "breaks": "<p>" + "<br/>".join("Why does the kettle of the mason stand on the wall and who will carry it home again to the valley".split()) + "</p>\n",
     "references": "&nbsp;".join(("In the village every mason who owns a kettle must also mend the lantern that belongs to the oldest tailor " * 2).split()),
     "stub": "# Kettle\n\nkettle, pot",
