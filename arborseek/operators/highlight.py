@@ -179,7 +179,7 @@ def snippet_of(text: str, weights: dict[str, float] | NearWords, language: str =
         if total > best[0] + 1e-12:
             best, start = (total, left), spots[left][0]
     cut = text[start : start + size]
-    if start + size < len(text) and (m := re.search(r"\s\S*$", cut)) and any(e <= start + m.start() for _, e, _ in spots if e > start):
+    if start + size < len(text) and (m := re.search(r"\s\S*\Z", cut)) and any(e <= start + m.start() for _, e, _ in spots if e > start):
         cut = cut[: m.start()]
     out, at = [], 0
     for begin, end, _ in spots:

@@ -350,6 +350,18 @@ SELECT source, id, score FROM sums QUALIFY row_number() OVER (PARTITION BY sourc
     "flat_stats": _FLAT
     + """SELECT n AS candidates, n AS aggregated, least(coalesce(c, n), 500) AS after_elbow,
   CASE WHEN n <= 1 THEN 'too_few_results' WHEN coalesce(c, n) > 500 THEN 'max_results_reached' WHEN c IS NULL THEN 'no_elbow' ELSE 'ratio_below_threshold' END AS cutoff FROM cut""",
+    "snippet": CURRENT
+    + r""", parts AS (SELECT id, body, regexp_extract_all(body, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS t FROM cur WHERE body IS NOT NULL),
+each AS (SELECT id, unnest(t) AS t, unnest(range(len(t))) AS i FROM parts),
+placed AS (SELECT id, i, t, length(t) AS n, coalesce(sum(length(t)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot FROM each),
+hits AS (SELECT id, spot, spot + n AS stop FROM placed WHERE lower(t) = 'cache'),
+windows AS (SELECT r.id, r.spot AS last, min(l.spot) AS start, count(*) AS n FROM hits r JOIN hits l ON l.id = r.id AND l.spot <= r.spot AND (r.stop - l.spot <= 150 OR l.spot = r.spot) GROUP BY r.id, r.spot),
+best AS (SELECT id, start FROM windows QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, last) = 1),
+cuts AS (SELECT id, start, body, substr(body, start + 1, 150) AS cut, length(regexp_extract(substr(body, start + 1, 150), '(?s)^(.*)\s\S*$', 1)) AS blank, regexp_matches(substr(body, start + 1, 150), '\s') AS has FROM best JOIN parts USING (id)),
+sized AS (SELECT id, start, CASE WHEN start + 150 < length(body) AND has AND EXISTS (SELECT 1 FROM hits h WHERE h.id = c.id AND h.stop > start AND h.stop <= start + blank) THEN blank ELSE length(cut) END AS size FROM cuts c),
+shown AS (SELECT p.id, i, CASE WHEN lower(t) = 'cache' AND spot >= start AND spot + n <= start + size THEN '<b>' || t || '</b>' ELSE substr(t, greatest(start - spot, 0) + 1, least(spot + n, start + size) - greatest(spot, start)) END AS t
+  FROM placed p JOIN sized s ON s.id = p.id AND spot < start + size AND spot + n > start)
+SELECT id, string_agg(t, '' ORDER BY i) AS snippet FROM shown GROUP BY id""",
     "match_ranges": CURRENT
     + r""", parts AS (SELECT id, regexp_extract_all(body, '[\p{L}\p{N}]+|[^\p{L}\p{N}]+') AS t FROM cur WHERE body IS NOT NULL),
 each AS (SELECT id, unnest(t) AS t, unnest(range(len(t))) AS i FROM parts),
