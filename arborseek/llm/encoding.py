@@ -187,3 +187,14 @@ def encode_documents(documents: DataFrame, raw: bytes, chunk: int = CHUNK, overl
     encoded = pieces.mapInArrow(_encode(raw, ["row", "doc_id", "piece"], [pa.int64(), pa.int64(), pa.int32()]), "row long, doc_id long, piece int, ids array<int>")
     whole = encoded.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
     return short.unionByName(whole.select("doc_id", F.flatten(F.col("parts.ids")).alias("ids")))
+
+
+def decode_documents(encoded: DataFrame, raw: bytes) -> DataFrame:
+    """``(doc_id, text)`` of ``encoded(doc_id, ids, ...)``: the bytes of all ids put together and read as UTF-8; a null list gives null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [None if ids is None else decode(raw, ids) for ids in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

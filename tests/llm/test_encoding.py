@@ -77,3 +77,11 @@ def test_long_runs_give_what_one_pass_gives(spark, raw, text):
     encode = e.encoder(raw)
     got = sorted((r["doc_id"] or 0, r["ids"]) for r in e.encode_documents(df, raw, 64, 16).collect())
     assert got == [(0, encode(text + "!")), (1, encode(text)), (1, encode(text))]
+
+
+def test_ids_give_the_texts_back(spark, raw):
+    rows = [(i, t) for i, t in enumerate(SPECIAL)] + [(90, None), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = e.decode_documents(e.encode_documents(df, raw, 64, 16), raw).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in got) == sorted((i or -1, t or "") for i, t in rows)
+    assert e.decode_documents(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), raw).first()["text"] is None
