@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +132,11 @@ class Index:
     count: int
     language: str = "none"
 
+    @cached_property
+    def averages(self) -> dict[str, float]:
+        """Mean lengths by field, read once: there are four fields."""
+        return {r["field"]: r["avg_len"] for r in self.stats.collect()}
+
     @staticmethod
     def of(rows: DataFrame, language: str = "none") -> Index:
         """An index over rows as :func:`index_rows` gives them, made anew by each query that reads it."""
@@ -216,7 +221,7 @@ class Index:
         return Index(rows("chunks"), rows("postings"), terms_now, stats, count, metas[0]["language"])
 
 
-_built: dict[tuple[str, str, str], str] = {}
+_built: dict[tuple[str, str, str], tuple[str, Index]] = {}
 
 
 def _stamp(spark: SparkSession, table: str) -> str:
@@ -233,11 +238,13 @@ def _stamp(spark: SparkSession, table: str) -> str:
 def shared_index(spark: SparkSession, folder: str, chunks: DataFrame) -> Index:
     """The index of a folder's chunk table, written to the shared folder by the first query of this application that needs it.
 
-    It is made anew when the table was written since.
+    It is made anew when the table was written since, or the index was deleted.
     """
     key = (spark.sparkContext.applicationId, folder, _stamp(spark, f"{folder}/chunks.parquet"))
-    if key not in _built:
-        at = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
-        Index.build(index_rows(chunks), at)
-        _built[key] = at
-    return Index.read(spark, _built[key])
+    if key in _built:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{_built[key][0]}/meta")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return _built[key][1]
+    at = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    _built[key] = at, Index.build(index_rows(chunks), at)
+    return _built[key][1]

@@ -187,7 +187,6 @@ class Compiler:
         if not self.leaves:
             return None
         index = self.index
-        averages = {r["field"]: r["avg_len"] for r in index.stats.collect()}  # one row a field
         table, terms = self.lookup()
         fields = sorted({f for leaf in self.leaves for f in leaf.fields})
         scope = index.postings.where(F.col("field").isin(*fields))
@@ -196,7 +195,7 @@ class Compiler:
             scope, table = scope.where(among("term", terms)), F.broadcast(table)
         rows = scope.join(table, ["field", "term"])
         boost = _pick("field", {f: self.boosts.get(f, 1.0) for f in fields})
-        length = _pick("field", {f: averages.get(f) or 1.0 for f in fields})
+        length = _pick("field", {f: index.averages.get(f) or 1.0 for f in fields})
         if phrases or any(leaf.fuzzy for leaf in self.leaves):
             # terms of one leaf meet: those near one word count once, those of a phrase must stand in a row
             spots = F.collect_list(F.when(F.col("leaf").isin(phrases), F.struct("place", "positions"))) if phrases else F.lit(None)
