@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arborseek.functions.snowball import danish, french, german, norwegian, spanish, swedish
@@ -125,3 +125,24 @@ def stem_column(df: DataFrame, column: str, language: str) -> DataFrame:
 
     stems = df.select(F.col(column).alias("__word")).where("__word is not null").distinct().mapInPandas(run, "__word string, __stem string")
     return df.join(stems, F.col(column) == F.col("__word"), "left").withColumn(column, F.col("__stem")).drop("__word", "__stem")
+
+
+def stem_words(column: str, language: str) -> Column:
+    """An array of words with each word stemmed. A worker stems a word once, as long as it keeps a bounded number of them."""
+    word = stemmer(language)
+    if language.lower() == "none":
+        return F.col(column)
+    known: dict[str, str] = {}
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        def stem_of(w: str) -> str:
+            if w not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                known[w] = word(w)
+            return known[w]
+
+        return texts.map(lambda ws: None if ws is None else [stem_of(w) for w in ws])
+
+    return run(column)

@@ -15,7 +15,7 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborseek.functions.stem import stem_column
+from arborseek.functions.stem import stem_column, stem_words
 from arborseek.functions.text import terms
 from arborseek.operators.current import current_rows
 from arborseek.session import scratch_dir, written
@@ -71,16 +71,21 @@ def field_parts(rows: DataFrame) -> DataFrame:
     return sized.select("id", "doc_id", "tree", F.inline(F.concat(one("body"), one("path"), one("tags"), titles))).where("size(words) > 0")
 
 
-def tokens(rows: DataFrame, language: str = "none") -> DataFrame:
-    """``(id, doc_id, tree, field, len, pos, term)``, one row a token."""
-    found = field_parts(rows).select("id", "doc_id", "tree", "field", "part", "len", F.posexplode("words").alias("place", "term"))
-    placed = found.select("id", "doc_id", "tree", "field", "len", (F.col("part") * GAP + F.col("place")).alias("pos"), "term")
-    return stem_column(placed, "term", language)
+def tokens(rows: DataFrame, language: str = "none", parts: int | None = None) -> DataFrame:
+    """``(id, doc_id, tree, field, len, pos, term)``, one row a token. With ``parts`` they are spread by id over so many partitions."""
+    worded = field_parts(rows).withColumn("words", stem_words("words", language))
+    if parts is not None:
+        worded = worded.repartition(parts, "id")
+    found = worded.select("id", "doc_id", "tree", "field", "part", "len", F.posexplode("words").alias("place", "term"))
+    return found.select("id", "doc_id", "tree", "field", "len", (F.col("part") * GAP + F.col("place")).alias("pos"), "term")
 
 
-def postings(rows: DataFrame, language: str = "none") -> DataFrame:
-    """One row for each term of a field of a chunk; the field's length comes along, so that scoring joins nothing."""
-    found = tokens(rows, language).groupBy("field", "term", "id", "doc_id", "tree", "len")
+def postings(rows: DataFrame, language: str = "none", parts: int | None = None) -> DataFrame:
+    """One row for each term of a field of a chunk; the field's length comes along, so that scoring joins nothing.
+
+    With ``parts`` texts are spread by id before they are taken apart, so that tokens meet where they are.
+    """
+    found = tokens(rows, language, parts).groupBy("field", "term", "id", "doc_id", "tree", "len")
     counted = found.agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     return counted.select("field", "term", "id", "doc_id", "tree", "tf", "len", "positions")
 
@@ -160,7 +165,7 @@ class Index:
         chunks = spark.read.schema(rows.schema).parquet(f"{folder}/chunks")
         crowded = F.broadcast(crowded_terms(chunks, language, parts))
         piece = F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1)))
-        placed = postings(chunks, language).join(crowded, "term", "left").withColumn("piece", piece).drop("pieces")
+        placed = postings(chunks, language, parts).join(crowded, "term", "left").withColumn("piece", piece).drop("pieces")
         by_term = placed.repartition(parts, "term", "piece").drop("piece").sortWithinPartitions("field", "term", "id").select(*POSTING)
         by_term.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{folder}/postings")
         return chunks, spark.read.schema(by_term.schema).parquet(f"{folder}/postings")
