@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborseek.operators import similar
+from arborseek.operators.index import Index
 from arborseek.plans import catalog, retrieval
 
 CHUNKS = "id string, doc_id string, parent_id string, hierarchy array<string>, depth int, tags array<string>, path string, tree string, body string, position int, byte_start long, byte_end long, sibling_count int, mtime timestamp"
@@ -53,3 +54,43 @@ def test_more_like_each_agrees_with_one_source(spark, folder):
         want = [(r["id"], r["score"]) for r in one.orderBy(F.desc("score"), "id").limit(10).collect()]
         assert want and sorted((-r["score"], r["id"]) for r in got if r["source"] == source) == [(-s, i) for i, s in want]
     assert "more_like_each" in retrieval.QUERIES
+
+
+def records_shuffled(df) -> int:
+    """Records that the exchanges of a plan have written, after it ran."""
+    waiting, total = [df._jdf.queryExecution().executedPlan()], 0
+    while waiting:
+        node = waiting.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            waiting.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        elif kind == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        waiting += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_more_like_each_keeps_pairs_in_their_task(spark, folder):
+    """All 64 chunks share a title: more than 4,000 pairs, of which each task gives one a source."""
+    index = retrieval._index(spark, folder)
+    got = similar.more_like_each(index.chunks, index, top=1)
+    assert len(got.collect()) == 64
+    assert 64 <= records_shuffled(got) <= 64 * index.chunks.rdd.getNumPartitions()
+
+
+def test_more_like_each_in_blocks_and_without_a_document(spark, tmp_path):
+    texts = {"t:a": "apple berry", "t:a#one": "apple berry cherry", "t:b": "apple berry", "t:c": "apple berry", "t:d": "cherry"}
+    rows = [(i, None if i == "t:c" else i.partition("#")[0], None, None, 0, None, None, "t", b, 0, 0, 10, 1, datetime(2025, 1, 1)) for i, b in texts.items()]
+    spark.createDataFrame(rows, CHUNKS).write.parquet(f"{tmp_path}/chunks.parquet")
+    index = Index.of_words(retrieval._rows(spark, str(tmp_path)))
+    one, many = (sorted(map(tuple, similar.more_like_each(index.words, index, top=2, block_terms=n).collect())) for n in (1000, 1))
+    assert one == many
+    # t:a leaves out its own section; equal scores stand by id
+    assert {s: [i for x, i, _ in sorted(one, key=lambda r: (r[0], -r[2], r[1])) if x == s] for s in texts} == {
+        "t:a": ["t:b", "t:c"], "t:a#one": ["t:d", "t:a"], "t:b": ["t:a", "t:c"], "t:c": ["t:a", "t:b"], "t:d": ["t:a#one"],
+    }
+    assert {r["id"] for r in similar.more_like_each(index.words, index, similar.SimilarParams(boost=-1.0)).where("source = 't:d'").collect()} == {"t:a#one"}
+    assert similar.more_like_each(index.words.where("id = 't:z'"), index).count() == 0
