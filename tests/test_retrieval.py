@@ -74,11 +74,16 @@ def records_shuffled(df) -> int:
 
 
 def test_more_like_each_keeps_pairs_in_their_task(spark, folder):
-    """All 64 chunks share a title: more than 4,000 pairs, of which each task gives one a source."""
+    """All 64 chunks share a title: more than 4,000 pairs, of which each task gives one a source. Without broadcasts, as for large tables."""
     index = retrieval._index(spark, folder)
-    got = similar.more_like_each(index.chunks, index, top=1)
-    assert len(got.collect()) == 64
-    assert 64 <= records_shuffled(got) <= 64 * index.chunks.rdd.getNumPartitions()
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = similar.more_like_each(index.chunks, index, top=1)
+        assert len(got.collect()) == 64
+        assert 64 <= records_shuffled(got) <= 64 * index.chunks.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
 
 
 def test_more_like_each_in_blocks_and_without_a_document(spark, tmp_path):
